@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import langid, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": packing.query,
+    "op3_language": langid.query,
     "op4_token_files": token_files.query,
+    "op9_simhash": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
