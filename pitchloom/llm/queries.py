@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, simhash, token_files
+from . import langid, mixing, packing, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": packing.query,
     "op3_language": langid.query,
     "op4_token_files": token_files.query,
+    "op5_mix": mixing.query,
     "op9_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mix": mixing.SQL,
+}
