@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, simhash, token_files
+from . import langid, mixing, packing, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": packing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": token_files.query,
     "op5_mix": mixing.query,
     "op9_simhash": simhash.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
