@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, simhash, token_files
+from . import fingerprints, langid, mixing, packing, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.query,
     "op2_pack": packing.query,
     "op3_language": langid.query,
     "op4_token_files": token_files.query,
     "op5_mix": mixing.query,
+    "op6_fingerprints": fingerprints.query,
+    "op7_toxicity": toxicity.query,
     "op9_simhash": simhash.query,
     "op10_quality": quality.query,
 }

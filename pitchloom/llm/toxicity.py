@@ -1,8 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning, in numpy.
 
-Confirmed toxic documents are the positives; every other training text is unlabelled, and some of those are toxic,
-too. With the class prior pi (the toxic share of the labelled training rows), the risk of the unlabelled seen as
-negatives counts pi times the positives by mistake, so
+Confirmed toxic documents are the positives; the training texts at large are unlabelled, and some are toxic, too. With
+the class prior pi (the toxic share of the labelled training rows), the risk of the unlabelled seen as negatives counts pi times the positives by mistake, so
 
     R = pi R(positives as positives) + max(0, R(unlabelled as negatives) - pi R(positives as negatives)),
 
@@ -126,7 +125,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", tex
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000, most_unlabelled: int = 12000) -> Model:
-    """labels holds only rows that may be learned from; unlabelled texts are docs of any other id."""
+    """labels holds only rows that may be learned from; the unlabelled are drawn from all of docs, as the prior is."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("y"))
     row = known.agg(F.avg(F.col("y").cast("double")).alias("prior"), F.count("*").alias("n")).first()
     prior = float(row.prior or 0.0)
@@ -135,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return ids.orderBy(F.xxhash64(F.lit(salt), id_col), id_col).limit(most).select(id_col)
 
     positives = least(known.where("y"), most_positive, 1)
-    others = least(docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().join(known.where("y"), id_col, "left_anti"), most_unlabelled, 2)
+    others = least(docs.where(F.col(id_col).isNotNull()).select(id_col).distinct(), most_unlabelled, 2)
     return fit(sample_features(docs, positives, id_col, text_col), sample_features(docs, others, id_col, text_col), prior)
 
 
