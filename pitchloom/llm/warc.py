@@ -12,8 +12,8 @@ A node is made by the task that reads its archive; levels above are made in it,
 hashed. Damage to a length cannot move what follows: leaves are read at the inventory's ranges, and a file that ends
 early has short leaves.
 
-Cases: a null url or html is written as an empty one; a null page id comes first and has an empty record id; repeated ids are separate records,
-ordered by url and html; an empty table has no archive and no finding; a replica that lacks an archive mismatches at
+Cases: a null url or html is written as an empty one; a null page id comes first and has an empty record id; repeated
+ids are separate records, ordered by url and html; an empty table has no archive and no finding; a replica that lacks an archive mismatches at
 every record of it; other columns, whatever their names, are ignored.
 """
 
@@ -94,22 +94,26 @@ def read_archives(inventory: DataFrame, replica: int = 0) -> DataFrame:
     return common.map_batches(inventory, run, "page_id long, url string, html string")
 
 
-def damage(inventory: DataFrame, replica: int, where: Column) -> int:
-    """Flip the last byte of the body of the records that a condition marks, in one replica; how many. For drills."""
+def damage(inventory: DataFrame, replica: int, where: Column, intact: int = 0) -> int:
+    """Damage the last byte of the marked records in one replica; how many. For drills.
+
+    The byte becomes the complement of the intact replica's, so a repeated task does not mend what it damaged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                store, path = common.open_store(r["file"])
+                store, path = common.open_store(r["files"][intact])
                 with store.open_input_stream(path) as f:
                     held = bytearray(f.read())
                 for at in r["at"]:
                     held[at] ^= 0xFF
+                store, path = common.open_store(r["files"][replica])
                 with store.open_output_stream(path) as f:
                     f.write(bytes(held))
                 yield pa.RecordBatch.from_pydict({"n": [len(r["at"])]}, pa.schema([("n", pa.int64())]))
 
-    marked = inventory.where(where).groupBy(F.element_at("files", replica + 1).alias("file")).agg(F.sort_array(F.collect_list(F.col("offset") + F.col("length") - 5)).alias("at"))
+    marked = inventory.where(where).groupBy("files").agg(F.collect_list(F.col("offset") + F.col("length") - 5).alias("at"))
     return common.map_batches(marked, run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
