@@ -79,6 +79,8 @@ class SpectrumSpec:
     def of(cls, *spec, units: float = 1200.0) -> SpectrumSpec:
         """From the positional form: ('harmonic', 12, 'powerlaw', 1), ('stiff', 12, 0.01, 'geometric', .9), ('custom', o, w)."""
         mode = str(spec[0]).lower()
+        if mode not in MODES:
+            raise ValueError(f"unknown spectrum mode {mode}")
         if mode == "custom":
             return cls("custom", offsets=tuple(map(float, spec[1])), weights=tuple(map(float, spec[2])), units=units)
         if mode == "harmonic":

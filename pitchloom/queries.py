@@ -39,9 +39,9 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def r6(df: DataFrame) -> DataFrame:
-    """Doubles to six places, without a negative zero."""
-    return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+def r6(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to six places (fewer for large sums), without a negative zero."""
+    return df.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def literal_set(spark: SparkSession, name: str, ps, ws=None) -> DataFrame:
@@ -61,8 +61,8 @@ T24 = "SELECT event_type AS set_id, hour(ts)::DOUBLE AS p, sum(value) AS w FROM
 L12 = "SELECT l_orderkey AS set_id, (l_partkey % 12)::DOUBLE AS p, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2"
 
 
-def R(x: str) -> str:
-    return f"round({x}, 6) + 0.0"
+def R(x: str, places: int = 6) -> str:
+    return f"round({x}, {places}) + 0.0"
 
 
 def WRAP(d: str, period: float) -> str:
@@ -195,9 +195,9 @@ def _apm(spark: SparkSession, d: str) -> DataFrame:
     return r6(circular.circ_apm(tables.hour_profiles(spark, d), 24))
 
 
-@query("apm_decay_hours", f"SELECT set_id, lag::INT AS lag, phase::INT AS phase, {R('r')} AS r FROM {_apm_sql(0.05)}")
+@query("apm_decay_hours", f"SELECT set_id, lag::INT AS lag, phase::INT AS phase, {R('r', 3)} AS r FROM {_apm_sql(0.05)}")
 def _apm_decay(spark: SparkSession, d: str) -> DataFrame:
-    return r6(circular.circ_apm(tables.hour_profiles(spark, d), 24, 0.05))
+    return r6(circular.circ_apm(tables.hour_profiles(spark, d), 24, 0.05), 3)
 
 
 @query("apm_phases_hours", f"SELECT set_id, phase::INT AS phase, {R('sum(r)')} AS r_phase FROM {_apm_sql(0)} GROUP BY 1, 2")
@@ -271,8 +271,8 @@ for _per in (True, False):
         _scale = {"none": "1", "gaussian": "1 / sqrt(2 * pi() * 2.25)", "pdf": "1 / sqrt(2 * pi() * 2.25) / sum(w)"}[_norm]
         query(
             f"tensor_abs_{'per' if _per else 'nonper'}_{_norm}",
-            f"SELECT set_id, x, {R(f'sum(w * exp(-power({_d}, 2) / (2 * 2.25))) * {_scale}')} AS value FROM ({T24}), (SELECT unnest(range(48)) * 0.5::DOUBLE AS x) GROUP BY 1, 2",
-        )(lambda s, d, per=_per, norm=_norm: r6(tensor.evaluate_raw(_TYPES(s, d), grids.linspace(0, 24, 48, endpoint=False), TensorParams(1.5, 1, False, per, 24), norm)))
+            f"SELECT set_id, x, {R(f'sum(w * exp(-power({_d}, 2) / (2 * 2.25))) * {_scale}', 4)} AS value FROM ({T24}), (SELECT unnest(range(48)) * 0.5::DOUBLE AS x) GROUP BY 1, 2",
+        )(lambda s, d, per=_per, norm=_norm: r6(tensor.evaluate_raw(_TYPES(s, d), grids.linspace(0, 24, 48, endpoint=False), TensorParams(1.5, 1, False, per, 24), norm), 4))
     _c = WRAP("b.p - a.p - x", 24) if _per else "b.p - a.p - x"
     query(
         f"tensor_rel_{'per' if _per else 'nonper'}_r2",
