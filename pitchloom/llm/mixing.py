@@ -7,8 +7,8 @@ most x size / weight, the first k are full, and the level is what is left over t
 A source is then taken floor(target / size) times whole (its complete epochs), and the fraction that remains is a
 weighted sample without replacement: each document has the exponential key -ln(u) / quality, and documents are taken
 in the order of their keys while the running sum of sizes keeps within the budget. The document that crosses the
-budget is left; instead, of those behind it, the one whose size is nearest to the gap is taken if that comes nearer
-than none. u comes from the md5 of seed and id, so reruns agree.
+budget is left; instead, of it and those behind it, the one whose size is nearest to the gap is taken if that comes
+nearer than none, and so on for ``fillers`` documents at most. u comes from the md5 of seed and id, so reruns agree.
 
 The running sum never gathers a source in one task: keys fall into ranges of equal width, sums of the ranges (one
 row for each source and range) are summed over earlier ranges, and only within a range are documents ordered.
@@ -74,7 +74,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return level.select("source", "source_size", target.alias("target"))
 
 
-def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", fillers: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, times): how often the mix takes each document."""
     text = F.col(text_col)
     drawn = common.durable(
@@ -94,14 +94,22 @@ def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     placed = common.durable(placed.select("doc_id", "source", "size", "g", "range", "place", (F.col("earlier") + F.col("sum")).alias("upto")), "placed")
 
     # goal has a row for each source; Spark broadcasts it below its own size limit and else joins by shuffle
-    sampled = placed.join(goal.select("g", "source_size", "target", "epochs", "budget"), "g")
     within = F.col("upto") <= F.col("budget")
-    gap = sampled.groupBy("g").agg((F.max("budget") - F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0))).alias("gap"))
-    behind = sampled.where(~within & (F.col("size") > 0)).join(gap, "g")
-    nearest = behind.groupBy("g").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "range", "place", "gap")).alias("best"))
-    nearest = nearest.where("best.off < best.gap").select("g", F.col("best.range").alias("best_range"), F.col("best.place").alias("best_place"))
-    chosen = within | ((F.col("range") == F.col("best_range")) & (F.col("place") == F.col("best_place")))
-    return sampled.join(nearest, "g", "left").select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.when(chosen, 1).otherwise(0)).alias("times"))
+    reached = placed.join(goal, "g").groupBy("g").agg(F.max(F.when(within, F.col("upto"))).alias("reached"))
+    state = goal.join(reached, "g").select("g", "source_size", "target", "epochs", "budget", (F.col("budget") - F.coalesce("reached", F.lit(0))).alias("gap"), F.expr("cast(array() as array<struct<range: bigint, place: int>>)").alias("fills"))
+    here = F.struct("range", "place")
+    for _ in range(fillers):
+        state = common.durable(state, "mix-state")
+        behind = placed.join(state, "g").where(~within & (F.col("size") > 0) & ~F.array_contains("fills", here))
+        best = behind.groupBy("g").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "range", "place", "size")).alias("best"))
+        nearer = F.col("best.off") < F.abs("gap")
+        state = state.join(best, "g", "left").select(
+            *["g", "source_size", "target", "epochs", "budget"],
+            F.when(nearer, F.col("gap") - F.col("best.size")).otherwise(F.col("gap")).alias("gap"),
+            F.when(nearer, F.array_append("fills", F.struct("best.range", "best.place"))).otherwise(F.col("fills")).alias("fills"),
+        )
+    out = placed.join(common.durable(state, "mix-state"), "g")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.when(within | F.array_contains("fills", here), 1).otherwise(0)).alias("times"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -156,10 +164,16 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGI
 p AS (SELECT d.doc_id, d.size, e.source, e.source_size, e.target, e.epochs, e.budget, d.key,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-a AS (SELECT source, max(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0) AS gap FROM p GROUP BY source),
-b AS (SELECT p.source, arg_min(doc_id, {'off': abs(size - gap), 'key': key}) AS best, min(abs(size - gap)) AS off, any_value(gap) AS gap
-      FROM p JOIN a ON p.source IS NOT DISTINCT FROM a.source WHERE upto > budget AND size > 0 GROUP BY p.source)
+s0 AS (SELECT source, max(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0) AS gap, []::BIGINT[] AS fills FROM p GROUP BY source){steps}
 SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, round(p.target, 6) AS target,
-       (p.size * (epochs + CASE WHEN upto <= budget OR (b.off < b.gap AND b.best = p.doc_id) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source
+       (p.size * (epochs + CASE WHEN upto <= budget OR list_contains(z.fills, p.doc_id) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p JOIN s3 z ON p.source IS NOT DISTINCT FROM z.source
 """
+_STEP = """,
+b{i} AS (SELECT p.source, arg_min({{'id': doc_id, 'size': size}}, {{'off': abs(size - gap), 'key': key}}) AS best, min(abs(size - gap)) AS off
+       FROM p JOIN s{j} s ON p.source IS NOT DISTINCT FROM s.source
+       WHERE upto > budget AND size > 0 AND NOT list_contains(fills, doc_id) GROUP BY p.source),
+s{i} AS (SELECT s.source, CASE WHEN off < abs(gap) THEN gap - best.size ELSE gap END AS gap,
+              CASE WHEN off < abs(gap) THEN list_append(fills, best.id) ELSE fills END AS fills
+       FROM s{j} s LEFT JOIN b{i} b ON s.source IS NOT DISTINCT FROM b.source)"""
+SQL = SQL.replace("{steps}", "".join(_STEP.format(i=i, j=i - 1) for i in (1, 2, 3)))
