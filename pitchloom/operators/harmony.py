@@ -58,7 +58,7 @@ def _on_grid(p: np.ndarray, w: np.ndarray, sigma: float, resolution: float) -> n
 
 
 def _correlations(df: DataFrame, schema: str, finish, sigma: float, spectrum: SpectrumSpec, chord_spectrum: SpectrumSpec | None, resolution: float) -> DataFrame:
-    """finish(set_id, p0, correlation, template length) -> a batch, for each set; sets come as one row each."""
+    """finish(set_id, its type, p0, correlation, template length) -> a batch, for each set; sets come as one row each."""
     kind = dict(df.dtypes)["set_id"]
     tp, tw = _spectrum_arrays(spectrum)
     template = _on_grid(tp, tw, sigma, resolution)
@@ -75,7 +75,7 @@ def _correlations(df: DataFrame, schema: str, finish, sigma: float, spectrum: Sp
                 # at 1-cent grids of thousands of points the transform costs a hundredth of the direct sum
                 x = np.fft.irfft(np.fft.rfft(chord, full) * np.fft.rfft(template[::-1], full), full)[:size]
                 norm = math.sqrt((chord**2).sum() * (template**2).sum())
-                yield finish(r["set_id"], p0, np.maximum(x, 0) / norm if norm > 0 else x, len(template))
+                yield finish(r["set_id"], batch.schema.field("set_id").type, p0, np.maximum(x, 0) / norm if norm > 0 else x, len(template))
 
     return nested(df).mapInArrow(run, schema.format(kind=kind))
 
@@ -83,11 +83,11 @@ def _correlations(df: DataFrame, schema: str, finish, sigma: float, spectrum: Sp
 def template_harmonicity(df: DataFrame, sigma: float = 12.0, *, spectrum: SpectrumSpec = DEFAULT_TEMPLATE, chord_spectrum: SpectrumSpec | None = None, normalize: bool = True, base: float = 2.0, resolution: float = 1.0) -> DataFrame:
     """(set_id, h_max, h_entropy) of the correlation of a chord's spectrum with a harmonic template."""
 
-    def finish(key, p0: float, x: np.ndarray, n: int) -> pa.RecordBatch:
+    def finish(key, kind: pa.DataType, p0: float, x: np.ndarray, n: int) -> pa.RecordBatch:
         q = x / x.sum() if x.sum() > 0 else x
         q = q[q > 0]
         h = float(-(q * np.log(q)).sum() / (math.log(len(x)) if normalize else math.log(base)))
-        return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([float(x.max())]), pa.array([h])], ["set_id", "h_max", "h_entropy"])
+        return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([float(x.max())]), pa.array([h])], ["set_id", "h_max", "h_entropy"])
 
     return _correlations(df, "set_id {kind}, h_max double, h_entropy double", finish, sigma, spectrum, chord_spectrum, resolution)
 
@@ -95,8 +95,8 @@ def template_harmonicity(df: DataFrame, sigma: float = 12.0, *, spectrum: Spectr
 def virtual_pitches(df: DataFrame, sigma: float = 12.0, *, spectrum: SpectrumSpec = DEFAULT_TEMPLATE, chord_spectrum: SpectrumSpec | None = None, resolution: float = 1.0) -> DataFrame:
     """(set_id, vp_p, vp_w): the correlation as a profile over candidate fundamentals."""
 
-    def finish(key, p0: float, x: np.ndarray, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key] * len(x)), pa.array((np.arange(len(x)) - (n - 1)) * resolution + p0), pa.array(x)], ["set_id", "vp_p", "vp_w"])
+    def finish(key, kind: pa.DataType, p0: float, x: np.ndarray, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(x), kind), pa.array((np.arange(len(x)) - (n - 1)) * resolution + p0), pa.array(x)], ["set_id", "vp_p", "vp_w"])
 
     return _correlations(df, "set_id {kind}, vp_p double, vp_w double", finish, sigma, spectrum, chord_spectrum, resolution)
 
