@@ -82,18 +82,21 @@ def ring(most: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+#: A key's label, which start and which half, stands above this bit.
+LABEL = 58
+
+
 def bucket_keys(fp: np.ndarray, most: int) -> np.ndarray:
-    """Keys (n x 2 (most + 1)): a start, the segment there, and either half of the next."""
+    """Keys (n x 2 (most + 1)): a start, the segment there, and either half of the next. For most = 0, the whole."""
+    if most == 0:
+        return fp[:, None]
     segments, out = ring(most), []
     part = lambda at, n: (fp >> np.uint64(at)) & np.uint64((1 << n) - 1)
     for i, (at, n) in enumerate(segments):
-        if most == 0:
-            out.append(part(at, n) if n < 64 else fp)
-            continue
         after, size = segments[(i + 1) % len(segments)]
         half = size // 2
         for j, (a, b) in enumerate(((after, half), (after + half, size - half))):
-            out.append((((np.uint64(2 * i + j) << np.uint64(n)) | part(at, n)) << np.uint64(size)) | part(a, b))
+            out.append(np.uint64((2 * i + j) << LABEL) | (part(at, n) << np.uint64(b)) | part(a, b))
     return np.stack(out, axis=1)
 
 
@@ -179,19 +182,9 @@ def links(nodes: DataFrame, most: int, parts: int, large: int = 64) -> DataFrame
             keys = bucket_keys(fp.view(np.uint64), most)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]))], ["key", "fp"])
 
-    segments = ring(most)
-    starts = [int(k) for k in range(2 * (most + 1))]
-
     def start_of(key: np.ndarray) -> np.ndarray:
-        """The start that a key names, by the widths it was shifted by."""
-        out = np.zeros(len(key), np.int64)
-        if most == 0:
-            return out
-        for s in starts:
-            i = s // 2
-            shift = np.uint64(segments[i][1] + segments[(i + 1) % len(segments)][1])
-            out[(key >> shift) == np.uint64(s)] = i
-        return out
+        """The start that a key names."""
+        return (key >> np.uint64(LABEL)).astype(np.int64) // 2 if most else np.zeros(len(key), np.int64)
 
     def small_pairs(key: np.ndarray, fp: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Links in many small buckets at once: rows at distance 1, 2, ... of the same key."""
