@@ -136,12 +136,16 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = 12, slack: float =
 
 
 def rounded(fractional: list[tuple[dict[int, int], float]], histogram: np.ndarray) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """Whole columns, greatest first, each at most as often as the histogram can still fill it; and what is left."""
+    """Whole columns that the histogram can fill, and what is left.
+
+    First the whole part of each; then each is rounded up as far as its pieces are there, longest piece first, since
+    long pieces have the fewest places.
+    """
     left, out = histogram.astype(np.int64).copy(), []
-    for up in (False, True):
-        for column, x in sorted(fractional, key=lambda c: -c[1]):
-            most = min(left[k] // n for k, n in column.items())
-            times = int(min(np.ceil(x - 1e-9) if up else np.floor(x + 1e-9), most))
+    by_use, by_length = lambda c: -c[1], lambda c: (-max(c[0]), -c[1])
+    for order, whole in ((by_use, lambda x: np.floor(x + 1e-9)), (by_length, lambda x: np.ceil(x - 1e-9))):
+        for column, x in sorted(fractional, key=order):
+            times = int(min(whole(x), min(left[k] // n for k, n in column.items())))
             if times > 0:
                 for k, n in column.items():
                     left[k] -= n * times
