@@ -180,7 +180,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.05
 
     Learned from the rows with a language, of whatever fold. least is far below what prose of a few words reaches.
     """
-    return identify(docs, docs).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    columns = docs.columns
+    numbered = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(columns)})  # whatever they are called
+    found = identify(numbered, numbered, lang_col=f"_{columns.index('lang')}", text_col=f"_{columns.index('text')}")
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ def test_language_of_odd_documents(spark, odd_documents, no_documents):
     assert {r.lang_pred for r in langid.identify(odd_documents, no_documents).collect()} == {"und"}
     kept = langid.stage(spark, odd_documents, "")
     assert kept.columns == odd_documents.columns and 2 not in [r.doc_id for r in kept.collect()]
+    assert {r.score for r in kept.collect()} == {0.5}
 
 
 def test_non_negative_risk_finds_the_words():
