@@ -19,12 +19,19 @@ from pyspark.sql import functions as F
 from ..model import SpectrumSpec, nested
 from ..plans.grids import steps_to
 from .spectra import add_spectra
-from .tensor import entropy_of
+
+#: A kernel is 0 this many widths away: what is left out is below the rounding of its peak.
+REACH = 9.0
 
 DEFAULT_TEMPLATE = SpectrumSpec.of("harmonic", 36, "powerlaw", 1)
 DEFAULT_TENSOR = SpectrumSpec.of("harmonic", 64, "powerlaw", 1)
 
 
+def one_row_each(df: DataFrame) -> DataFrame:
+    """nested(), dealt to as many tasks as a shuffle has: few bytes, but much work for each set."""
+    return nested(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_id"))
+
+
 def lowered(df: DataFrame) -> DataFrame:
     """Positions less the set's least, which is kept as p0."""
     least = df.groupBy("set_id").agg(F.min("p").alias("p0"))
@@ -35,10 +42,17 @@ def spectral_entropy(df: DataFrame, sigma: float = 12.0, *, spectrum: SpectrumSp
     """(set_id, entropy) of the smoothed spectrum on a grid from the least pitch, up to 4 sigma past the highest."""
     low = lowered(df)
     rich = add_spectra(low, spectrum) if spectrum else low
-    most = rich.groupBy("set_id").agg((F.max("p") + F.lit(4 * sigma)).alias("most"))
-    at = rich.join(most, "set_id").select("set_id", "p", "w", F.explode(steps_to(F.col("most"), resolution)).alias("x"))
-    d = F.col("p") - F.col("x")
-    return entropy_of(at.groupBy("set_id", "x").agg(F.sum(F.col("w") * F.exp(-d * d / (2 * sigma**2))).alias("value")), base, normalize)
+    most = rich.groupBy("set_id").agg(F.ceil((F.max("p") + F.lit(4 * sigma + resolution)) / F.lit(float(resolution))).alias("n"))
+    reach = REACH * sigma
+    first = F.greatest(F.ceil((F.col("p") - reach) / resolution), F.lit(0).cast("long"))
+    last = F.least(F.floor((F.col("p") + reach) / resolution), F.col("n") - 1)
+    at = rich.join(most, "set_id").select("set_id", "n", "p", "w", F.explode(F.sequence(first, last)).alias("i"))
+    d = F.col("p") - F.col("i") * F.lit(float(resolution))
+    bins = at.groupBy("set_id", "n", "i").agg(F.sum(F.col("w") * F.exp(-d * d / (2 * sigma**2))).alias("t"))
+    t = F.col("t")
+    h = bins.groupBy("set_id", "n").agg(F.sum(t).alias("s"), F.sum(F.when(t > 0, t * F.log(t)).otherwise(0.0)).alias("x"))
+    value = (F.log("s") - F.col("x") / F.col("s")) / (F.log(F.col("n").cast("double")) if normalize else F.lit(math.log(base)))
+    return h.select("set_id", F.when(F.col("s") > 0, value).otherwise(0.0).alias("entropy"))
 
 
 def _spectrum_arrays(spec: SpectrumSpec) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +91,7 @@ def _correlations(df: DataFrame, schema: str, finish, sigma: float, spectrum: Sp
                 norm = math.sqrt((chord**2).sum() * (template**2).sum())
                 yield finish(r["set_id"], batch.schema.field("set_id").type, p0, np.maximum(x, 0) / norm if norm > 0 else x, len(template))
 
-    return nested(df).mapInArrow(run, schema.format(kind=kind))
+    return one_row_each(df).mapInArrow(run, schema.format(kind=kind))
 
 
 def template_harmonicity(df: DataFrame, sigma: float = 12.0, *, spectrum: SpectrumSpec = DEFAULT_TEMPLATE, chord_spectrum: SpectrumSpec | None = None, normalize: bool = True, base: float = 2.0, resolution: float = 1.0) -> DataFrame:
@@ -157,7 +171,7 @@ def tensor_harmonicity(df: DataFrame, sigma: float = 12.0, *, size: int, spectru
                     values.append(float(mass @ np.exp(-q / (2 * sigma**2)) * scale))
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("set_id").type), pa.array(values, pa.float64())], ["set_id", "h"])
 
-    return nested(df).mapInArrow(run, f"set_id {kind}, h double")
+    return one_row_each(df).mapInArrow(run, f"set_id {kind}, h double")
 
 
 def roughness(df: DataFrame, *, p_norm: float = 1.0, average: bool = False) -> DataFrame:
