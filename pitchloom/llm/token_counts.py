@@ -44,11 +44,19 @@ def vocabulary_pieces(path: str) -> list[str]:
 
 
 class Trie:
-    """Nodes are numbers; node 0 is the empty prefix. best and tokens hold each prefix's forward score and count."""
+    """Nodes are numbers; node 0 is the empty prefix. best and tokens hold each prefix's forward score and count.
 
-    def __init__(self, scores: dict[str, float], most_nodes: int = 2_000_000):
+    ``endings`` has every ending of every piece, with the score of those that are pieces: the pieces that end at a
+    character are found by growing a stretch to the left until it ends no piece.
+    """
+
+    def __init__(self, scores: dict[str, float], most_nodes: int = 1_500_000):
         self.scores, self.most_nodes = scores, most_nodes
-        self.longest = max(map(len, scores), default=1)
+        self.endings: dict[str, float | None] = {}
+        for piece in scores:
+            for i in range(1, len(piece)):
+                self.endings.setdefault(piece[i:], None)
+        self.endings |= scores
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.clear()
 
@@ -64,21 +72,29 @@ class Trie:
             found = self.terminal[word] = self._insert(word)
         return found
 
+    def total(self, words: list[str]) -> int:
+        """Tokens of the pre-tokens of a text."""
+        found = list(map(self.terminal.get, words))
+        return sum(found) if None not in found else sum(map(self.count, words))
+
     def _insert(self, word: str) -> int:
-        children, best, tokens, scores, longest = self.children, self.best, self.tokens, self.scores, self.longest
+        children, best, tokens, endings = self.children, self.best, self.tokens, self.endings
         path, node = [0], 0
         for i, c in enumerate(word):
             after = children.get((node, c))
             if after is None:
                 size = len(c.encode("utf-8", "surrogatepass"))
                 score, count = best[node] + size * self.unknown, tokens[node] + size
-                for j in range(max(0, i + 1 - longest), i + 1):
-                    piece = scores.get(word[j : i + 1])
-                    if piece is not None:
-                        above = path[j]
-                        s, n = best[above] + piece, tokens[above] + 1
-                        if s > score or (s == score and n < count):
-                            score, count = s, n
+                for j in range(i, -1, -1):
+                    piece = endings.get(word[j : i + 1], 0.0)
+                    if piece is None:
+                        continue
+                    if piece == 0.0:  # no ending of a piece; scores are negative
+                        break
+                    above = path[j]
+                    s, n = best[above] + piece, tokens[above] + 1
+                    if s > score or (s == score and n < count):
+                        score, count = s, n
                 after = children[node, c] = len(best)
                 best.append(score)
                 tokens.append(count)
@@ -91,17 +107,29 @@ class Trie:
             self.clear()
 
 
+_tries: dict[int, Trie] = {}
+
+
+def worker_trie(pieces: list[str]) -> Trie:
+    """A worker's trie for a vocabulary; workers are reused across tasks, and so is what they inserted."""
+    key = hash(tuple(pieces))
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = Trie(rank_scores(pieces))
+    return _tries[key]
+
+
 def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each row; pieces (a vocabulary, of bounded size) go to every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(rank_scores(pieces))
+        trie = worker_trie(pieces)
         for batch in common.in_slices(batches):
             pretokens, tokens = [], []
             for text in batch.column("t").to_pylist():
                 words = [SPACE_MARK + w for w in text.split()] if text else []
                 pretokens.append(len(words))
-                tokens.append(sum(map(trie.count, words)))
+                tokens.append(trie.total(words))
                 trie.room()
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(pretokens, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
