@@ -1,7 +1,8 @@
 """WARC files and a Merkle fixity audit of their replicas.
 
-``write_archives`` writes pages as WARC/1.0 response records in ascending page id, an archive for each range of ids, and
-returns an inventory (archive, record, id, offset, length). ``read_archives`` parses archives back.
+``write_archives`` writes pages as WARC/1.0 response records in ascending page id, each a gzip member of its own, an
+archive for each range of ids, and returns an inventory (archive, record, id, offset and length as stored, size and
+digest of the record itself). ``read_archives`` parses archives back.
 
 ``tree`` hashes one replica: a leaf is the SHA-256 of the bytes at a record's offset range, read from the file; a node
 hashes, in order, the offset range and hash of up to ``FANOUT`` nodes below it. A replica's tree is a table (archive,
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FANOUT = 16
-INVENTORY = "archive int, record long, page_id long, offset long, length long, files array<string>"
+INVENTORY = "archive int, record long, page_id long, offset long, length long, size long, digest string, files array<string>"
 TREE = "archive int, level int, node long, first long, past long, hash string"
 
 
@@ -41,6 +43,12 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     return head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
+def member(held: bytes) -> bytes:
+    """A gzip member without a time or name, so equal records are equal bytes in every replica."""
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(held) + pack.flush()
+
+
 def write_archives(pages: DataFrame, roots: list[str], archives: int) -> DataFrame:
     """Write the same archives below each root and return the inventory; files lists an archive's path in each replica."""
     data = pages.select(F.col("page_id").cast("long").alias("k"), F.col("url").alias("u"), F.col("html").alias("h"))
@@ -62,10 +70,11 @@ def write_archives(pages: DataFrame, roots: list[str], archives: int) -> DataFra
                         store.create_dir(path.rpartition("/")[0])
                         out.append(store.open_output_stream(path))
                 held = record(r["k"], r["u"], r["h"])
+                stored = member(held)
                 for f in out:
-                    f.write(held)
-                rows.append({"archive": archive, "record": n, "page_id": r["k"], "offset": at, "length": len(held), "files": files})
-                at, n = at + len(held), n + 1
+                    f.write(stored)
+                rows.append({"archive": archive, "record": n, "page_id": r["k"], "offset": at, "length": len(stored), "size": len(held), "digest": hashlib.sha256(held).hexdigest(), "files": files})
+                at, n = at + len(stored), n + 1
             yield pa.RecordBatch.from_pylist(rows, _inventory())
         for f in out:
             f.close()
@@ -74,7 +83,7 @@ def write_archives(pages: DataFrame, roots: list[str], archives: int) -> DataFra
 
 
 def _inventory() -> pa.Schema:
-    return pa.schema([("archive", pa.int32()), ("record", pa.int64()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("files", pa.list_(pa.string()))])
+    return pa.schema([("archive", pa.int32()), ("record", pa.int64()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("files", pa.list_(pa.string()))])
 
 
 def read_archives(inventory: DataFrame, replica: int = 0) -> DataFrame:
@@ -86,7 +95,7 @@ def read_archives(inventory: DataFrame, replica: int = 0) -> DataFrame:
             for r in batch.to_pylist():
                 store, path = common.open_store(r["files"][replica])
                 with store.open_input_file(path) as f:
-                    head, _, body = f.read_at(r["length"], r["offset"]).partition(b"\r\n\r\n")
+                    head, _, body = zlib.decompress(f.read_at(r["length"], r["offset"]), 31).partition(b"\r\n\r\n")
                 fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
                 rows.append({"page_id": r["page_id"], "url": fields["WARC-Target-URI"], "html": body[: int(fields["Content-Length"])].decode("utf-8", "surrogatepass")})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]))
@@ -95,7 +104,7 @@ def read_archives(inventory: DataFrame, replica: int = 0) -> DataFrame:
 
 
 def damage(inventory: DataFrame, replica: int, where: Column, intact: int = 0) -> int:
-    """Damage the last byte of the marked records in one replica; how many. For drills.
+    """Damage a byte near the end of the marked records as stored in one replica; how many. For drills.
 
     The byte becomes the complement of the intact replica's, so a repeated task does not mend what it damaged.
     """
@@ -211,15 +220,14 @@ def fixity(pages: DataFrame, archives: int, damaged: Column) -> DataFrame:
     damage(inventory, 1, damaged)
     first = tree(inventory, 0)
     found = audit(first, tree(inventory, 1)).withColumn("mismatch", F.lit(True))
-    leaves = first.where("level = 0").select("archive", F.col("node").alias("record"), F.col("hash").alias("record_sha256"))
-    joined = inventory.join(leaves, ["archive", "record"]).join(found, ["archive", "record"], "left")
-    return joined.select("page_id", "archive", "record", "offset", "length", "record_sha256", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
+    joined = inventory.join(found, ["archive", "record"], "left")
+    return joined.select("page_id", "archive", "record", "offset", "length", "size", "digest", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record, its hash, and whether the audit finds it damaged, as it is for ids whose crc32 is 0 mod 50."""
     found = fixity(common.table(spark, sf_dir, "pages"), common.shuffle_parts(spark), F.coalesce(common.id_fold("page_id", 50) == 0, F.lit(False)))
-    return found.select("page_id", "length", "record_sha256", "mismatch")
+    return found.select("page_id", F.col("size").alias("length"), F.col("digest").alias("record_sha256"), "mismatch")
 
 
 #: DuckDB has no crc32, so the SQL states the records' bytes and hashes; the damaged ids come from a table of crc32.
