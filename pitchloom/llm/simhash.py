@@ -260,9 +260,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = edges
     for _ in range(rounds):
         e = common.durable(star(star(e, True), False), "star")
-        # done when no node is both below another and above a third: every edge then leads to a root
-        if e.select(F.col("a").alias("x")).join(e.select(F.col("b").alias("x")), "x", "left_semi").isEmpty():
-            return e.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root").union(e.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
+        # done when every lesser end is a root (no node is both below another and above a third) and no node hangs on two
+        below = e.groupBy("b").agg(F.min("a").alias("root"), F.count("*").alias("n")).select(F.col("b").alias("node"), "root", "n")
+        inner = e.select(F.col("a").alias("node")).join(below, "node", "left_semi")
+        if below.where("n > 1").isEmpty() and inner.isEmpty():
+            return below.drop("n").union(e.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
     raise RuntimeError("the components did not settle")
 
 

@@ -115,6 +115,22 @@ def test_a_long_chain_settles(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def path_or_tree(seed):
+    """Edges of one path (odd seeds) or tree of 5 to 10 nodes, labelled at random."""
+    rng = np.random.default_rng(seed)
+    names = rng.permutation(int(rng.integers(5, 11))).tolist()
+    over = [i - 1 if seed % 2 else int(rng.integers(0, i)) for i in range(1, len(names))]
+    return [tuple(sorted((names[i], names[j]))) for i, j in enumerate(over, 1)]
+
+
+# one graph at a time: among several, the rounds go on until the slowest has settled
+@pytest.mark.parametrize("edges", [[(3, 5), (5, 6), (6, 7), (4, 7)], *map(path_or_tree, range(6))])
+def test_one_component_has_one_root(spark, edges):
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for e in edges for x in e}
+    assert found == dict.fromkeys(nodes, min(nodes))
+
+
 def test_near_duplicates(spark, odd_documents, no_documents, corpus):
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     fps = [brute_fingerprint(t) for _, t in rows]
