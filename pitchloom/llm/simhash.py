@@ -285,10 +285,12 @@ def near_duplicates(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the least id; of rows that repeat it, one.
 
-    Shingles of five words; 4 of 64 bits is the distance of the fingerprints of texts alike by 0.8 or more and up.
-    Rows without an id stay, once for each text, since no id can name them.
+    Texts are near if the Jaccard likeness of their sets of five-word shingles is 0.8 or more, exactly (see alike):
+    such texts differ in about ten bits of their fingerprints, too many for a ring of segments. Rows without an id stay, once for each text, since no id can name them.
     """
-    found = near_duplicates(docs, shingle=5)
+    from .alike import groups
+
+    found = common.durable(groups(docs), "near")
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     repeated = kept.where("count > 1")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
