@@ -12,8 +12,8 @@ those over all documents.
 
 A subset takes each lexicon term by a hash, so it needs no table of its own. Subsets are small (``keep`` of the
 lexicon), so that a document has a few terms in each, and an edit leaves some of them alone. Where a document has no
-term of the lexicon at all, its one signature is the hash of its sorted distinct words, so such documents agree only
-if their words do.
+term of any subset (none of the lexicon, or few that all subsets left out), its one signature is the hash of its sorted
+distinct words, so such documents agree only if their words do.
 
 For the edited text and the next document, documents are dealt by ranges of their id, and each range gets, too, the
 one row that follows it: no global order is built in one task.
@@ -102,9 +102,9 @@ class Signer:
         found = np.sort(np.fromiter(terms(text), np.uint64))
         at = np.minimum(np.searchsorted(self.lexicon, found), max(0, len(self.lexicon) - 1))
         at = at[self.lexicon[at] == found] if len(self.lexicon) and len(found) else np.zeros(0, np.int64)
-        if not len(at):
-            return f"w{xxh64_intdigest(found.tobytes()):016x}"
         held, member = self.lexicon[at], self.member[at]
+        if not member.any():
+            return f"w{xxh64_intdigest(found.tobytes()):016x}"
         return ".".join(f"{xxh64_intdigest(held[m].tobytes()) & 0xFFFFFFFF:08x}" if m.any() else "" for m in member.T)
 
 

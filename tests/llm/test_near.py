@@ -160,6 +160,20 @@ def test_lexicon_is_exact(spark, corpus):
         assert fingerprints.lexicon(corpus.repartition(3), 0.05, 0.3, part=part).tolist() == expected
 
 
+def test_unlike_short_texts_sign_unlike():
+    """One to five terms of the lexicon are often in none of the subsets."""
+    named = [f"term{i}" for i in range(600)]
+    sign = fingerprints.Signer(np.sort(np.fromiter(fingerprints.terms(" ".join(named)), np.uint64)))
+    texts = [" ".join(named[i : i + k]) for k in (1, 3, 5) for i in range(0, 600, 5)]
+    marks = [sign(t) for t in texts]
+    assert all(m.strip(".") for m in marks)
+    plain = [m for m in marks if m[0] == "w"]
+    assert len(plain) > 60 and len(set(plain)) == len(plain)
+    assert max(fingerprints.likeness(a, b) for a, b in itertools.combinations(plain, 2)) == 0
+    assert sign("term1 other") != sign("term1 else") or not sign("term1 other").startswith("w")
+    assert sign("") == sign(" ") and fingerprints.likeness(sign(""), sign("")) == 1
+
+
 def check_fingerprints(rows, docs):
     order = sorted(docs, key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
     texts = [r.text or "" for r in order]
