@@ -88,9 +88,12 @@ class SpectrumSpec:
         return cls(mode, spec[1], spec[3], float(spec[4]), float(spec[2]), units=units)
 
 
-def multiset(df: DataFrame, set_id: str = "set_id", p: str = "p", w: str | None = "w") -> DataFrame:
-    """The long form, with default weights and without padding."""
-    weight = F.coalesce(F.col(w).cast("double"), F.lit(1.0)) if w and w in df.columns else F.lit(1.0)
+def multiset(df: DataFrame, set_id: str = "set_id", p: str = "p", w: str | float | None = "w") -> DataFrame:
+    """The long form, with default weights and without padding; w is a column, one number for all, or None."""
+    if isinstance(w, str):
+        weight = F.coalesce(F.col(w).cast("double"), F.lit(1.0)) if w in df.columns else F.lit(1.0)
+    else:
+        weight = F.lit(1.0 if w is None else float(w))
     return df.select(F.col(set_id).alias("set_id"), F.col(p).cast("double").alias("p"), weight.alias("w")).where("p is not null and not isnan(p)")
 
 
@@ -99,6 +102,11 @@ def nested(df: DataFrame) -> DataFrame:
     return df.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("elems"))
 
 
+def one_row_each(df: DataFrame) -> DataFrame:
+    """nested(), dealt to as many tasks as a shuffle has: few bytes, but much work for each set."""
+    return nested(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_id"))
+
+
 def exploded(df: DataFrame) -> DataFrame:
     return df.select("set_id", F.inline("elems").alias("p", "w"))
 

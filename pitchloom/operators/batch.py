@@ -1,8 +1,8 @@
-"""Row-wise similarity of paired multisets, each distinct pair computed once.
+"""Row-wise similarity of paired multisets, each distinct pair computed once in a task.
 
 Rows that differ only by what the similarity ignores share a canonical pair: a common transposition (absolute), each
-set's own transposition (relative), octaves (periodic). Keys are expressions of one row; the pairs that are left after
-``distinct`` are compared by joins and sums, and the result is joined back.
+set's own transposition (relative), octaves (periodic). Keys are expressions of one row; one shuffle makes the rows of a
+pair neighbours, and the first of each run is computed.
 """
 
 from __future__ import annotations
@@ -10,13 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SpectrumSpec, TensorParams, exploded
-from .spectra import add_spectra
-from .tensor import cosine
+from ..functions.pitch import partials
+from ..model import SpectrumSpec, TensorParams
+from .tensor import cosine_of_rows
+
+
+#: Tasks that share the rows of one pair at most.
+SALTS = 16
 
 
 def elements(p: Column, w: Column | None) -> Column:
-    """ARRAY<STRUCT<p, w>> in order, without padding and the weights beside it."""
+    """ARRAY<STRUCT<p, w>> in order, without padding and the weights beside it.
+
+    No weights, or an empty array of them, are all 1; one is every element's; another number than of positions raises.
+    """
+    if w is not None:
+        n, m = F.size(p), F.size(w)
+        w = F.when(F.coalesce(m, F.lit(0)) == 0, F.array_repeat(F.lit(1.0), n)).when(m == 1, F.array_repeat(F.element_at(w, 1), n)).when(m == n, w).otherwise(F.raise_error(F.lit("weights must be as many as positions, or one")))
     zipped = F.zip_with(p, w, lambda a, b: F.struct(a.alias("p"), F.coalesce(b, F.lit(1.0)).alias("w"))) if w is not None else F.transform(p, lambda a: F.struct(a.alias("p"), F.lit(1.0).alias("w")))
     return F.array_sort(F.filter(zipped, lambda e: e["p"].isNotNull() & ~F.isnan(e["p"])))
 
@@ -58,19 +68,23 @@ def canonical(rows: DataFrame, t: TensorParams, precision: int | None = None) ->
     return out.withColumns({"ka": rounded(F.col("ka"), precision), "kb": rounded(F.col("kb"), precision)})
 
 
+def enriched(e: Column, spectrum: SpectrumSpec) -> Column:
+    """add_spectra() of an array of elements."""
+    return F.flatten(F.transform(e, lambda x: F.transform(partials(spectrum), lambda s: F.struct((x["p"] + s["offset"]).alias("p"), (x["w"] * s["weight"]).alias("w")))))
+
+
 def batch_cos_sim(rows: DataFrame, t: TensorParams, *, weights_a: str | None = None, weights_b: str | None = None, spectrum: SpectrumSpec | None = None, precision: int | None = None) -> DataFrame:
     """(row_id, similarity) of rows (row_id, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>); null where a set has fewer than r values.
 
     precision rounds positions and weights before and after the keys are made, so that noise does not part them.
     """
     e = rows.select("row_id", rounded(elements(F.col("a"), F.col(weights_a) if weights_a else None), precision).alias("ea"), rounded(elements(F.col("b"), F.col(weights_b) if weights_b else None), precision).alias("eb"))
-    name = lambda k: F.sha2(F.to_json(F.col(k)), 256)
-    keyed = canonical(e.where((F.size("ea") >= t.r) & (F.size("eb") >= t.r)), t, precision).withColumns({"a_id": name("ka"), "b_id": name("kb")})
-    pairs = keyed.select("a_id", "b_id").distinct()
-
-    def sets(key: str, ident: str) -> DataFrame:
-        long = exploded(keyed.select(F.col(ident).alias("set_id"), F.col(key).alias("elems")).dropDuplicates(["set_id"]))
-        return add_spectra(long, spectrum) if spectrum else long
-
-    found = cosine(sets("ka", "a_id"), sets("kb", "b_id"), pairs, t)
-    return rows.select("row_id").join(keyed.select("row_id", "a_id", "b_id").join(found, ["a_id", "b_id"]).select("row_id", "similarity"), "row_id", "left")
+    enough = F.coalesce((F.size("ea") >= t.r) & (F.size("eb") >= t.r), F.lit(False))
+    keyed = canonical(e.where(enough), t, precision)
+    name = lambda k: F.to_json(F.col(k))
+    named = keyed.select("row_id", "ka", "kb", F.sha2(F.concat(name("ka"), name("kb")), 256).alias("pair"))
+    # rows of one pair become neighbours; a pair of many rows is dealt to up to SALTS tasks, and computed in each
+    dealt = named.repartition("pair", F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).sortWithinPartitions("pair")
+    side = (lambda k: enriched(F.col(k), spectrum)) if spectrum else F.col
+    found = cosine_of_rows(dealt.select("row_id", "pair", side("ka").alias("ea"), side("kb").alias("eb")), ["row_id"], t, "pair")
+    return found.unionByName(e.where(~enough).select("row_id", F.lit(None).cast("double").alias("similarity")))

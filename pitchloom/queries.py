@@ -11,14 +11,14 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.pitch import FROM_HZ, convert_pitch
 from .model import SpectrumSpec, TensorParams
-from .operators import batch, circular, harmony, spectra, tensor
+from .operators import batch, circular, harmony, profiles, spectra, tensor
 from .plans import grids
-from .sources import tables
+from .sources import audio, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -262,6 +262,17 @@ def _ntuple_smooth(spark: SparkSession, d: str) -> DataFrame:
     return r6(circular.n_tuple_entropy(tables.part_classes(spark, d), 12, 1, sigma=0.5, on_invalid="null"))
 
 
+_RING2 = "least((b{i} - s{i} + 12) % 12, (s{i} - b{i} + 12) % 12)"
+
+
+@query(
+    "ntuple_entropy_smoothed_2",
+    f"WITH {_STEPS}, {_RUNS2}, c AS (SELECT set_id, b1, b2, sum(exp(-(power({_RING2.format(i=1)}, 2) + power({_RING2.format(i=2)}, 2)) / (2 * 0.25))) AS v FROM u, (SELECT unnest(range(12)) AS b1), (SELECT unnest(range(12)) AS b2) GROUP BY 1, 2, 3) " + _entropy_sql("SELECT * FROM c", "144.0"),
+)
+def _ntuple_smooth2(spark: SparkSession, d: str) -> DataFrame:
+    return r6(circular.n_tuple_entropy(tables.part_classes(spark, d), 12, 2, sigma=0.5, on_invalid="null"))
+
+
 # ---------------------------------------------------------------- tensors
 
 _TYPES = lambda s, d: tables.hour_profiles(s, d, "event_type")
@@ -295,6 +306,19 @@ def _tensor_r3(spark: SparkSession, d: str) -> DataFrame:
     return r6(tensor.evaluate_raw(tables.part_classes(spark, d), at, TensorParams(0.5, 3, True, True, 12)).select("set_id", "value"))
 
 
+@query(
+    "tensor_rel_per_r4",
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY p) AS i FROM ({L12})),
+    t AS (SELECT a.set_id, {WRAP('b.p - a.p - 4', 12)} AS c, {WRAP('z.p - a.p - 7', 12)} AS g, {WRAP('y.p - a.p - 10', 12)} AS h, a.w * b.w * z.w * y.w AS v
+          FROM e a JOIN e b ON a.set_id = b.set_id AND a.i <> b.i JOIN e z ON a.set_id = z.set_id AND z.i <> a.i AND z.i <> b.i JOIN e y ON a.set_id = y.set_id AND y.i <> a.i AND y.i <> b.i AND y.i <> z.i)
+    SELECT set_id, {R('sum(v * exp(-(c * c + g * g + h * h - (c + g + h) * (c + g + h) / 4) / (2 * 0.25)))', 4)} AS value FROM t GROUP BY 1""",
+)
+def _tensor_r4(spark: SparkSession, d: str) -> DataFrame:
+    """How much each order's fours look like a seventh chord."""
+    at = F.array(F.array(F.lit(4.0), F.lit(7.0), F.lit(10.0)))
+    return r6(tensor.evaluate_raw(tables.part_classes(spark, d), at, TensorParams(0.5, 4, True, True, 12)).select("set_id", "value"), 4)
+
+
 _PAIR = {"abs_per": lambda r: [WRAP(f"u{k} - v{k}", 12) for k in range(1, r + 1)], "abs_nonper": lambda r: [f"(u{k} - v{k})" for k in range(1, r + 1)]}
 
 
@@ -328,8 +352,9 @@ for _mode, _r in (("abs_per", 1), ("abs_nonper", 1), ("abs_per", 2), ("abs_nonpe
     def _cosine(spark: SparkSession, d: str, mode: str = _mode, r: int = _r) -> DataFrame:
         sets = tables.part_classes(spark, d)
         t = TensorParams(0.5, r, mode.startswith("rel"), mode.endswith("_per"), 12)
-        how = tensor.cosine_absolute_pairs if r == 2 and not t.relative else tensor.cosine
-        return r6(how(sets, literal_set(spark, "diatonic", DIATONIC), against(sets, "diatonic"), t))
+        if r == 2 and not t.relative:
+            return r6(tensor.cosine_absolute_pairs(sets, literal_set(spark, "diatonic", DIATONIC), against(sets, "diatonic"), t))
+        return r6(tensor.cosine_with(sets, "diatonic", DIATONIC, t))
 
 
 @query(
@@ -338,7 +363,10 @@ for _mode, _r in (("abs_per", 1), ("abs_nonper", 1), ("abs_per", 2), ("abs_nonpe
     SELECT x.a_id, x.b_id, {R('x.ip / sqrt(n.ip * m.ip)')} AS similarity FROM x JOIN x n ON n.a_id = x.a_id AND n.b_id = x.a_id JOIN x m ON m.a_id = x.b_id AND m.b_id = x.b_id WHERE x.a_id < x.b_id""",
 )
 def similarity_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine similarity of hour-of-day profiles for every pair of event types."""
+    """Cosine similarity of hour-of-day profiles for every pair of event types.
+
+    All pairs are the result itself, a few for a few types; a key of many values needs pairs of its own choosing.
+    """
     sets = tables.hour_profiles(spark, d, "event_type")
     ids = sets.select("set_id").distinct()
     pairs = ids.toDF("a_id").join(ids.toDF("b_id"), F.col("a_id") < F.col("b_id"))
@@ -448,10 +476,10 @@ _SIX = SpectrumSpec.of("harmonic", 6, "powerlaw", 1)
 )
 def _tensor_harmonicity(spark: SparkSession, d: str) -> DataFrame:
     """Orders of three classes as triads; the SQL lists all tuples over three copies of the template."""
-    return r6(harmony.tensor_harmonicity(tables.part_classes(spark, d, 100), 20.0, size=3, spectrum=_SIX))
+    return r6(harmony.tensor_harmonicity(tables.part_classes(spark, d, 100), 20.0, size=3, spectrum=_SIX).where("h is not null"))
 
 
-_PARTIALS = "SELECT user_id || '/' || event_type AS set_id, value AS f FROM events"
+_PARTIALS = "SELECT user_id || '/' || event_type AS set_id, value AS f FROM events WHERE value > 0"
 
 
 def _roughness_sql(power: int, average: bool) -> str:
@@ -467,38 +495,117 @@ for _name, _power, _average in (("p1", 1, False), ("p2", 2, False), ("average",
 
 # ---------------------------------------------------------------- workflows
 
-_EDOS = 24
+_EDOS = 102
+_CHAIN, _STEP = 19, 0.5
+_GENERATORS = int(600 / _STEP) + 1
 
 
 @query(
     "edo_approximation",
     f"""WITH {values('ji', JI_TRIAD)}, e AS (SELECT n, i * 1200.0 / n AS p, i FROM (SELECT unnest(range(2, {_EDOS + 1})) AS n), range({_EDOS}) r(i) WHERE i < n), j AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ji),
-    k AS (SELECT a.n, b.p - a.p AS d FROM e a JOIN e b ON a.n = b.n AND a.i <> b.i), h AS (SELECT b.p - a.p AS d FROM j a JOIN j b ON a.i <> b.i),
-    ab AS (SELECT n, sum(exp(-power({WRAP('k.d - h.d', 1200)}, 2) / 2 / 400)) AS x FROM k, h GROUP BY 1), aa AS (SELECT k.n, sum(exp(-power({WRAP('k.d - z.d', 1200)}, 2) / 2 / 400)) AS x FROM k JOIN k z ON k.n = z.n GROUP BY 1), bb AS (SELECT sum(exp(-power({WRAP('h.d - z.d', 1200)}, 2) / 2 / 400)) AS x FROM h, h z)
-    SELECT ab.n::BIGINT AS n, {R('ab.x / sqrt(aa.x * bb.x)')} AS similarity FROM ab JOIN aa ON ab.n = aa.n, bb ORDER BY 2 DESC, 1 LIMIT 10""",
+    k AS (SELECT a.n, any_value(b.p - a.p) AS d, count(*) AS m FROM e a JOIN e b ON a.n = b.n AND a.i <> b.i GROUP BY 1, (b.i - a.i + a.n) % a.n), h AS (SELECT b.p - a.p AS d FROM j a JOIN j b ON a.i <> b.i),
+    ab AS (SELECT n, sum(m * exp(-power({WRAP('k.d - h.d', 1200)}, 2) / 2 / 400)) AS x FROM k, h GROUP BY 1), aa AS (SELECT k.n, sum(k.m * z.m * exp(-power({WRAP('k.d - z.d', 1200)}, 2) / 2 / 400)) AS x FROM k JOIN k z ON k.n = z.n GROUP BY 1), bb AS (SELECT sum(exp(-power({WRAP('h.d - z.d', 1200)}, 2) / 2 / 400)) AS x FROM h, h z)
+    SELECT ab.n::BIGINT AS n, {R('ab.x / sqrt(aa.x * bb.x)')} AS similarity FROM ab JOIN aa ON ab.n = aa.n, bb""",
 )
 def _edos(spark: SparkSession, d: str) -> DataFrame:
-    """The ten equal divisions of the octave nearest to a just triad, transposition aside."""
+    """The equal divisions of the octave, 2 to 102, against a just triad, transposition aside."""
     sets = spark.range(2, _EDOS + 1).select(F.col("id").alias("set_id"), F.explode(F.expr("transform(sequence(0L, id - 1), i -> i * 1200D / id)")).alias("p"), F.lit(1.0).alias("w"))
-    found = tensor.cosine(sets, literal_set(spark, "ji", JI_TRIAD), against(sets, "ji"), TensorParams(10, 2, True, True, 1200))
-    return r6(found.select(F.col("a_id").alias("n"), "similarity")).orderBy(F.desc("similarity"), "n").limit(10)
+    found = tensor.cosine_with(sets, "ji", JI_TRIAD, TensorParams(10, 2, True, True, 1200))
+    return r6(found.select(F.col("a_id").alias("n"), "similarity"))
+
+
+@query("edo_best", "SELECT * FROM (" + ORACLE_SQL["edo_approximation"] + ") ORDER BY similarity DESC, n LIMIT 10")
+def _edo_best(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of them."""
+    return _edos(spark, d).orderBy(F.desc("similarity"), "n").limit(10)
+
+
+def chain_similarity(spark: SparkSession) -> DataFrame:
+    """(i, generator, similarity) of chains of 19 tones by generators of 0 to 600 cents against a just triad."""
+    tones = F.expr(f"transform(sequence(0, {_CHAIN - 1}), k -> pmod(id * {_STEP}D * k, 1200D))")
+    sets = spark.range(_GENERATORS).select(F.col("id").alias("set_id"), F.explode(tones).alias("p"), F.lit(1.0).alias("w"))
+    found = tensor.cosine_with(sets.repartition("set_id"), "ji", JI_TRIAD, TensorParams(10, 2, True, True, 1200))
+    return r6(found.select(F.col("a_id").alias("i"), (F.col("a_id") * F.lit(_STEP)).alias("generator"), "similarity"))
 
 
 @query(
     "generator_chains",
-    f"""WITH {values('ji', JI_TRIAD)}, g AS (SELECT i * 5.0 AS gen, i::BIGINT AS i FROM range(121) t(i)), e AS (SELECT i, {MOD('gen * k', 1200)} AS p, k FROM g, range(7) t(k)), j AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ji),
-    x AS (SELECT a.i, b.p - a.p AS d FROM e a JOIN e b ON a.i = b.i AND a.k <> b.k), h AS (SELECT b.p - a.p AS d FROM j a JOIN j b ON a.i <> b.i),
-    ab AS (SELECT i, sum(exp(-power({WRAP('x.d - h.d', 1200)}, 2) / 2 / 400)) AS v FROM x, h GROUP BY 1), aa AS (SELECT x.i, sum(exp(-power({WRAP('x.d - z.d', 1200)}, 2) / 2 / 400)) AS v FROM x JOIN x z ON x.i = z.i GROUP BY 1), bb AS (SELECT sum(exp(-power({WRAP('h.d - z.d', 1200)}, 2) / 2 / 400)) AS v FROM h, h z),
-    s AS (SELECT ab.i, {R('ab.v / sqrt(aa.v * bb.v)')} AS similarity FROM ab JOIN aa ON ab.i = aa.i, bb)
-    SELECT i, i * 5.0::DOUBLE AS generator, similarity, coalesce(similarity > lag(similarity) OVER (ORDER BY i) AND similarity > lead(similarity) OVER (ORDER BY i), false) AS peak FROM s""",
+    f"""WITH {values('ji', JI_TRIAD)}, e AS (SELECT g.i, {MOD(f'g.i * {_STEP} * k', 1200)} AS p, k FROM range({_GENERATORS}) g(i), range({_CHAIN}) t(k)), j AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM ji),
+    x AS (SELECT a.i, any_value(b.p - a.p) AS d, count(*) AS m FROM e a JOIN e b ON a.i = b.i AND a.k <> b.k GROUP BY 1, b.k - a.k), h AS (SELECT b.p - a.p AS d FROM j a JOIN j b ON a.i <> b.i),
+    ab AS (SELECT i, sum(m * exp(-power({WRAP('x.d - h.d', 1200)}, 2) / 2 / 400)) AS v FROM x, h GROUP BY 1), aa AS (SELECT x.i, sum(x.m * z.m * exp(-power({WRAP('x.d - z.d', 1200)}, 2) / 2 / 400)) AS v FROM x JOIN x z ON x.i = z.i GROUP BY 1), bb AS (SELECT sum(exp(-power({WRAP('h.d - z.d', 1200)}, 2) / 2 / 400)) AS v FROM h, h z)
+    SELECT ab.i::BIGINT AS i, ab.i * {_STEP}::DOUBLE AS generator, {R('ab.v / sqrt(aa.v * bb.v)')} AS similarity FROM ab JOIN aa ON ab.i = aa.i, bb""",
 )
 def _chains(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of seven tones by generators of 0 to 600 cents against a just triad, with local maxima."""
-    sets = spark.range(121).select(F.col("id").alias("set_id"), F.explode(F.expr("transform(sequence(0, 6), k -> pmod(id * 5D * k, 1200D))")).alias("p"), F.lit(1.0).alias("w"))
-    s = r6(tensor.cosine(sets, literal_set(spark, "ji", JI_TRIAD), against(sets, "ji"), TensorParams(10, 2, True, True, 1200)).select(F.col("a_id").alias("i"), "similarity"))
-    w = Window.orderBy("i")  # one row for each generator of the sweep
-    peak = (F.col("similarity") > F.lag("similarity").over(w)) & (F.col("similarity") > F.lead("similarity").over(w))
-    return s.select("i", (F.col("i") * 5.0).alias("generator"), "similarity", F.coalesce(peak, F.lit(False)).alias("peak"))
+    return chain_similarity(spark)
+
+
+@query("generator_peaks")
+def generator_peaks(spark: SparkSession, d: str = "") -> DataFrame:
+    """The fifteen best generators of a full turn (the half sweep and its mirror), 24 cents apart at least.
+
+    The similarity is to three places, and peaks stand out by a hundredth, as the workflow has it.
+    """
+    half = chain_similarity(spark).select("i", F.round("similarity", 3).alias("value"))
+    mirror = half.where((F.col("i") > 0) & (F.col("i") < _GENERATORS - 1)).select((2 * (_GENERATORS - 1) - F.col("i")).alias("i"), "value")
+    turn = half.union(mirror).select(F.lit("chain").alias("set_id"), (F.col("i") * F.lit(_STEP)).alias("x"), "value")
+    return profiles.peaks(turn, 0.01, 24.0, 15).select("rank", F.col("x").alias("generator"), F.col("value").alias("similarity"))
+
+
+#: Three scales of seven notes, and four types of triads on twelve roots.
+SCALES = {"diatonic": (0, 200, 400, 500, 700, 900, 1100), "harmonic minor": (0, 200, 300, 500, 700, 800, 1100), "melodic minor": (0, 200, 300, 500, 700, 900, 1100)}
+CHORDS = {"major": (0, 400, 700), "minor": (0, 300, 700), "diminished": (0, 300, 600), "augmented": (0, 400, 800)}
+_DEMO = SpectrumSpec.of("harmonic", 24, "powerlaw", 1)
+_MIDDLE_C = 261.63
+
+
+def scale_chord_trials(spark: SparkSession) -> DataFrame:
+    """(row_id, scale, chord, root, a, b): 144 trials, a scale against a transposed chord."""
+    rows = [(i, s, c, 100 * r, [float(x) for x in SCALES[s]], [float(x + 100 * r) for x in CHORDS[c]]) for i, (s, c, r) in enumerate((s, c, r) for s in SCALES for c in CHORDS for r in range(12))]
+    return spark.createDataFrame(rows, "row_id int, scale string, chord string, root int, a array<double>, b array<double>")
+
+
+def chord_features(trials: DataFrame, *, harmonicity: bool) -> DataFrame:
+    """Features of each distinct chord, made once and mapped back to (row_id, ...) by its sorted pitches."""
+    keyed = trials.select("row_id", F.to_json(F.array_sort("b")).alias("set_id"), "b")
+    sets = keyed.dropDuplicates(["set_id"]).select("set_id", F.explode("b").alias("p"), F.lit(1.0).alias("w"))
+    hz = spectra.add_spectra(sets, _DEMO).withColumn("p", F.lit(_MIDDLE_C) * F.pow(F.lit(2.0), F.col("p") / 1200))
+    if harmonicity:
+        parts = [harmony.template_harmonicity(sets, 10.0, chord_spectrum=_DEMO), harmony.tensor_harmonicity(sets, 10.0, spectrum=_DEMO)]
+    else:
+        parts = [harmony.spectral_entropy(sets, 10.0, spectrum=_DEMO), harmony.roughness(hz)]
+    out = keyed.select("row_id", "set_id")
+    for part in parts:
+        out = out.join(part, "set_id")
+    return out.drop("set_id")
+
+
+def _trials_sql() -> str:
+    rows = ", ".join(f"('{s}', '{c}', {list(map(float, SCALES[s]))}, {list(map(float, CHORDS[c]))})" for s in SCALES for c in CHORDS)
+    return f"(SELECT scale, chord, (r * 100)::INT AS root, a, list_transform(b, lambda x: x + r * 100.0) AS b FROM (VALUES {rows}) v(scale, chord, a, b), range(12) t(r))"
+
+
+@query(
+    "batch_scales_chords",
+    f"""WITH t AS {_trials_sql()}, a AS (SELECT scale, chord, root, p + o AS p, s AS w FROM (SELECT *, unnest(a)::DOUBLE AS p FROM t), ({partial_sql(_DEMO)})), b AS (SELECT scale, chord, root, p + o AS p, s AS w FROM (SELECT *, unnest(b)::DOUBLE AS p FROM t), ({partial_sql(_DEMO)})),
+    ab AS (SELECT a.scale, a.chord, a.root, sum(a.w * b.w * exp(-power({WRAP('a.p - b.p', 1200)}, 2) / 400)) AS x FROM a JOIN b USING (scale, chord, root) GROUP BY 1, 2, 3), aa AS (SELECT a.scale, a.chord, a.root, sum(a.w * b.w * exp(-power({WRAP('a.p - b.p', 1200)}, 2) / 400)) AS x FROM a JOIN a b USING (scale, chord, root) GROUP BY 1, 2, 3),
+    bb AS (SELECT a.scale, a.chord, a.root, sum(a.w * b.w * exp(-power({WRAP('a.p - b.p', 1200)}, 2) / 400)) AS x FROM b a JOIN b USING (scale, chord, root) GROUP BY 1, 2, 3),
+    c AS (SELECT chord || root AS set_id, chord, root, unnest(b)::DOUBLE AS p, 1.0::DOUBLE AS w FROM t WHERE scale = 'diatonic'), g AS {_grid_sql('SELECT set_id, p, w FROM c', _DEMO, 10.0, 1.0)}, n AS ({_entropy_sql('SELECT * FROM g', 'any_value(bins)')}),
+    z AS (SELECT set_id, {_MIDDLE_C} * power(2, (p + o) / 1200) AS f, w * s AS w FROM c, ({partial_sql(_DEMO)})), u AS (SELECT x.set_id, sum(least(x.w, y.w) * 5 * (exp(-3.51 * 0.24 / (0.0207 * x.f + 18.96) * (y.f - x.f)) - exp(-5.75 * 0.24 / (0.0207 * x.f + 18.96) * (y.f - x.f)))) AS r FROM z x JOIN z y ON x.set_id = y.set_id AND x.f < y.f GROUP BY 1)
+    SELECT ab.scale, ab.chord, ab.root, {R('ab.x / sqrt(aa.x * bb.x)')} AS similarity, n.entropy, {R('u.r')} AS roughness
+    FROM ab JOIN aa USING (scale, chord, root) JOIN bb USING (scale, chord, root) JOIN n ON n.set_id = chord || root JOIN u ON u.set_id = chord || root""",
+)
+def _scales_chords(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of every scale and chord, with features of the chord that are made once for each distinct one."""
+    trials = scale_chord_trials(spark)
+    similar = batch.batch_cos_sim(trials, TensorParams(10, 1, False, True, 1200), spectrum=_DEMO, precision=6)
+    return r6(trials.join(similar, "row_id").join(chord_features(trials, harmonicity=False), "row_id").select("scale", "chord", "root", "similarity", "entropy", "roughness"))
+
+
+@query("batch_chord_harmonicity")
+def _scales_harmonicity(spark: SparkSession, d: str) -> DataFrame:
+    """The two harmonicities of the same trials, on the one-cent grid (beyond what SQL does in good time)."""
+    trials = scale_chord_trials(spark)
+    return r6(trials.select("row_id", "scale", "chord", "root").join(chord_features(trials, harmonicity=True), "row_id").drop("row_id"))
 
 
 def triads(spark: SparkSession, step: float, top: float = 1200.0) -> DataFrame:
@@ -528,18 +635,89 @@ def _triad_grid(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(F.col("a_id.x").alias("x")).pivot("a_id.y", list(range(12))).agg(F.max("similarity")).select("x", *[F.col(str(y)).alias(f"y{y}") for y in range(12)])
 
 
-def triad_consonance(spark: SparkSession, step: float, partials: int = 24) -> DataFrame:
+_TRIAD_STEP = 20.0
+
+
+def triad_hz(sets: DataFrame, spec: SpectrumSpec) -> DataFrame:
+    return spectra.add_spectra(sets, spec).withColumn("p", F.lit(_MIDDLE_C) * F.pow(F.lit(2.0), F.col("p") / 1200))
+
+
+def triad_consonance(spark: SparkSession, step: float = _TRIAD_STEP, partials: int = 24) -> DataFrame:
     """Five consonance measures of every triad of a grid: similarity, spectral entropy, both harmonicities, roughness."""
     sets, spec = triads(spark, step), SpectrumSpec.of("harmonic", partials, "powerlaw", 1)
-    t, major = TensorParams(10, 1, False, True, 1200), literal_set(spark, "major", [100 * p for p in MAJOR])
-    similar = tensor.cosine(spectra.add_spectra(sets, spec), spectra.add_spectra(major, spec), against(sets, "major"), t).select(F.col("a_id").alias("set_id"), "similarity")
-    entropy = harmony.spectral_entropy(sets, 10.0, spectrum=spec, resolution=4.0)
-    template = harmony.template_harmonicity(sets, 10.0, spectrum=SpectrumSpec.of("harmonic", 36, "powerlaw", 1), chord_spectrum=spec)
+    major = [100 * p for p in MAJOR]
+    enriched = [(p + 1200 * math.log2(n), 1 / n) for p in major for n in range(1, partials + 1)]
+    similar = tensor.cosine_with(spectra.add_spectra(sets, spec), "major", [e[0] for e in enriched], TensorParams(10, 1, False, True, 1200), [e[1] for e in enriched]).select(F.col("a_id").alias("set_id"), "similarity")
+    entropy = harmony.spectral_entropy(sets, 10.0, spectrum=spec)
+    template = harmony.template_harmonicity(sets, 10.0, spectrum=spec, chord_spectrum=spec)
     dense = harmony.tensor_harmonicity(sets, 10.0, size=3, spectrum=spec)
-    hz = spectra.add_spectra(sets, spec).withColumn("p", F.lit(261.6255653005986) * F.pow(F.lit(2.0), F.col("p") / 1200))
     out = similar
-    for measure in (entropy, template, dense, harmony.roughness(hz)):
+    for measure in (entropy, template, dense, harmony.roughness(triad_hz(sets, spec))):
         out = out.join(measure, "set_id")
     return out
 
 
+@query("triad_consonance")
+def _triad_consonance(spark: SparkSession, d: str) -> DataFrame:
+    """All five over the 1,891 triads of a 20-cent grid, on one-cent grids of pitch."""
+    return r6(triad_consonance(spark).select("set_id.x", "set_id.y", "similarity", "entropy", "h_max", "h_entropy", "h", "roughness"))
+
+
+_TRIADS_SQL = f"SELECT x::INT AS x, y::INT AS y, unnest([0.0, x * {_TRIAD_STEP}, y * {_TRIAD_STEP}])::DOUBLE AS p FROM range({int(1200 / _TRIAD_STEP) + 1}) a(x), range({int(1200 / _TRIAD_STEP) + 1}) c(y) WHERE x <= y"
+
+
+@query(
+    "triad_measures",
+    f"""WITH a AS (SELECT x, y, p + o AS p, s AS w FROM ({_TRIADS_SQL}), ({partial_sql(_DEMO)})), {values('b0', [100 * p for p in MAJOR])}, b AS (SELECT p + o AS p, w * s AS w FROM b0, ({partial_sql(_DEMO)})),
+    ab AS (SELECT x, y, sum(a.w * b.w * {_KERNEL}) AS v FROM a, b GROUP BY 1, 2), aa AS (SELECT a.x, a.y, sum(a.w * b.w * {_KERNEL}) AS v FROM a JOIN a b ON a.x = b.x AND a.y = b.y GROUP BY 1, 2), bb AS (SELECT sum(a.w * b.w * {_KERNEL}) AS v FROM b a, b),
+    z AS (SELECT x, y, {_MIDDLE_C} * power(2, p / 1200) AS f, w FROM a), u AS (SELECT a.x, a.y, sum(least(a.w, b.w) * 5 * (exp(-3.51 * 0.24 / (0.0207 * a.f + 18.96) * (b.f - a.f)) - exp(-5.75 * 0.24 / (0.0207 * a.f + 18.96) * (b.f - a.f)))) AS r FROM z a JOIN z b ON a.x = b.x AND a.y = b.y AND a.f < b.f GROUP BY 1, 2),
+    m AS (SELECT ab.x, ab.y, ab.v / sqrt(aa.v * bb.v) AS s, u.r FROM ab JOIN aa ON ab.x = aa.x AND ab.y = aa.y JOIN u ON u.x = ab.x AND u.y = ab.y, bb), e AS (SELECT min(r) AS lo, max(r) AS hi FROM m)
+    SELECT x, y, {R('s')} AS similarity, {R('power((r - lo) / (hi - lo), 0.5) * (hi - lo) + lo')} AS roughness FROM m, e""",
+)
+def _triad_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity to the major triad, and roughness under a gamma of one half, of the same triads."""
+    sets = triads(spark, _TRIAD_STEP)
+    major = [(100 * p + 1200 * math.log2(n), 1 / n) for p in MAJOR for n in range(1, _DEMO.n + 1)]
+    similar = tensor.cosine_with(spectra.add_spectra(sets, _DEMO), "major", [m[0] for m in major], TensorParams(10, 1, False, True, 1200), [m[1] for m in major])
+    rough = profiles.gamma_compress(harmony.roughness(triad_hz(sets, _DEMO)), "roughness", 0.5)
+    out = similar.join(rough, similar["a_id"] == rough["set_id"])
+    return r6(out.select("set_id.x", "set_id.y", "similarity", "roughness"))
+
+
+# ---------------------------------------------------------------- audio
+
+#: Sounds: name, partials (frequency, amplitude), sample format.
+_C, _A = 261.6255653005986, 440.0
+SOUNDS = {
+    "tone C4": ([_C], "pcm16"),
+    "tone A4": ([_A], "float32"),
+    "E minor": ([_C * 2 ** (k / 12) for k in (4, 7, 11)], "pcm24"),
+    "G7 on F": ([_C * 2 ** (k / 12) for k in (5, 7, 11, 14)], "float64"),
+    "C minor": ([_C * 2 ** (k / 12) for k in (0, 7, 15)], "pcm16"),
+}
+
+
+def sounds(spark: SparkSession) -> DataFrame:
+    """(path, content) of synthesised sounds of six partials to a tone, as the bytes of WAV files."""
+    listed = spark.createDataFrame([(k, [float(x) for x in f], kind) for k, (f, kind) in SOUNDS.items()], "path string, f array<double>, kind string")
+    return listed.select("path", audio.synthesised("f", "kind"))
+
+
+@query("audio_features")
+def audio_features(spark: SparkSession, d: str = "") -> DataFrame:
+    """Peaks before and after smoothing, spectral entropy, harmonicity and roughness of each sound."""
+    plain, smooth = (audio.peaks_of(sounds(spark), audio.PeakParams(sigma=s)) for s in (0.0, 9.0))
+    hz = smooth.select(F.col("path").alias("set_id"), F.col("f").alias("p"), "w")
+    cents = hz.withColumn("p", convert_pitch("p", "hz", "cents"))
+    out = plain.groupBy(F.col("path").alias("set_id")).agg(F.count("*").alias("n_plain")).join(hz.groupBy("set_id").agg(F.count("*").alias("n_smooth")), "set_id")
+    for part in (harmony.spectral_entropy(cents), harmony.template_harmonicity(cents), harmony.roughness(hz)):
+        out = out.join(part, "set_id")
+    return r6(out)
+
+
+@query("audio_similarity")
+def audio_similarity(spark: SparkSession, d: str = "") -> DataFrame:
+    """Spectral pitch-class similarity of every two sounds."""
+    sets = audio.peaks_of(sounds(spark), audio.PeakParams(sigma=9.0)).select(F.col("path").alias("set_id"), convert_pitch("f", "hz", "cents").alias("p"), "w")
+    names = spark.createDataFrame([(a, b) for a in SOUNDS for b in SOUNDS if a < b], "a_id string, b_id string")
+    return r6(tensor.cosine(sets, sets, names, TensorParams(12, 1, False, True, 1200)))

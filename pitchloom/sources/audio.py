@@ -1,20 +1,23 @@
-"""Spectral peaks of WAV files, read by Spark's binary source and analysed a file at a time in Arrow batches.
+"""Spectral peaks of sounds, read by Spark's binary source and analysed a file at a time in Arrow batches.
 
-Only PCM WAV is read (8, 16, 24 and 32 bits). A file must fit a worker's memory.
+WAV is read here: PCM of 8, 16, 24 and 32 bits and IEEE floats of 32 and 64, plain or extensible. Other formats go to
+the soundfile package where a worker has it. A file must fit a worker's memory.
 """
 
 from __future__ import annotations
 
 import io
 import math
+import struct
 import warnings
-import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -30,11 +33,36 @@ class PeakParams:
     noise_factor: float = 0.0
 
 
+def chunks(content: bytes) -> dict[bytes, bytes]:
+    """The first chunk of each kind of a RIFF file; one that claims more than there is ends with the file."""
+    found, at = {}, 12
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        found.setdefault(name, content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return found
+
+
 def decode(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and their rate."""
-    with wave.open(io.BytesIO(content)) as f:
-        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
-    if width == 1:
+    """Mono samples (PCM in [-1, 1], floats as they are) and their rate."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        try:
+            import soundfile
+        except ImportError:
+            raise ValueError("only WAV is read without the soundfile package") from None
+        x, rate = soundfile.read(io.BytesIO(content), dtype="float64", always_2d=True)
+        return x.mean(axis=1), rate
+    found = chunks(content)
+    kind, channels, rate, _, frame, bits = struct.unpack_from("<HHIIHH", found[b"fmt "])
+    if kind == 0xFFFE:  # extensible: the kind stands at the head of the sub-format
+        kind = struct.unpack_from("<H", found[b"fmt "], 24)[0]
+    raw, width = found[b"data"], bits // 8
+    raw = raw[: len(raw) // frame * frame]
+    if kind == 3 and width in (4, 8):
+        x = np.frombuffer(raw, f"<f{width}").astype(float)
+    elif kind != 1 or width not in (1, 2, 3, 4):
+        raise ValueError(f"WAV of kind {kind} and {bits} bits is not read")
+    elif width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
     elif width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
@@ -44,6 +72,33 @@ def decode(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).mean(axis=1), rate
 
 
+def encode(x: np.ndarray, rate: int, kind: str = "pcm16", channels: int = 1) -> bytes:
+    """A WAV file of samples in [-1, 1] on every channel: pcm8, pcm16, pcm24, pcm32, float32, float64."""
+    bits = int(kind.lstrip("pcmfloat"))
+    x = np.repeat(np.clip(x, -1, 1), channels)
+    if kind.startswith("float"):
+        raw = x.astype(f"<f{bits // 8}").tobytes()
+    else:
+        v = np.round(x * (2 ** (bits - 1) - 1)).astype("<i8")
+        raw = (v + 128).astype(np.uint8).tobytes() if bits == 8 else v.view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
+    frame = channels * bits // 8
+    head = struct.pack("<HHIIHH", 3 if kind.startswith("float") else 1, channels, rate, rate * frame, frame, bits)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) % 2)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def synthesised(f: str, kind: str, partials: int = 6, rate: int = 44100, seconds: float = 1.0) -> Column:
+    """A column content: for each row, the WAV bytes of harmonic tones at an array column of frequencies."""
+
+    @F.pandas_udf("binary")
+    def content(fs: pd.Series, kinds: pd.Series) -> pd.Series:
+        t = np.arange(int(rate * seconds)) / rate
+        sound = lambda tones: sum(np.sin(2 * np.pi * n * x * t) / n for x in tones for n in range(1, partials + 1))
+        return pd.Series([encode(y / np.abs(y).max(), rate, k) for y, k in ((sound(x), k) for x, k in zip(fs, kinds, strict=True))])
+
+    return content(f, kind).alias("content")
+
+
 def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Monotone cubic interpolation (Fritsch-Carlson); 0 outside the data."""
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
@@ -91,52 +146,104 @@ def prominent(y: np.ndarray, least: float) -> np.ndarray:
     return (starts[keep] + ends[keep]) // 2
 
 
-def peaks(x: np.ndarray, rate: int, q: PeakParams) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies in Hz and weights relative to the strongest."""
-    none = np.zeros(0), np.zeros(0)
+@dataclass(frozen=True)
+class Spectrum:
+    """Within the band: frequencies and magnitudes of the transform, and what peaks are sought in (smoothed or the same)."""
+
+    f: np.ndarray
+    magnitude: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+
+def spectrum(x: np.ndarray, rate: int, q: PeakParams) -> Spectrum:
+    none = np.zeros(0)
     ramp = round(q.ramp_duration * rate)
     if 0 < ramp <= len(x) // 2:
         rise = 0.5 - 0.5 * np.cos(np.pi * np.arange(ramp) / ramp)
         x = np.concatenate([x[:ramp] * rise, x[ramp:-ramp], x[-ramp:] * rise[::-1]])
     elif ramp > 0:
-        warnings.warn("the ramp is longer than half the signal and is not applied", stacklevel=2)
+        warnings.warn("the ramp is longer than half the signal and is not applied", stacklevel=3)
     top = min(q.f_max, rate / 2)
     if q.f_min >= top:
         raise ValueError("f_min must be below f_max")
-    magnitude = np.abs(np.fft.rfft(x)) / len(x)
+    magnitude = np.abs(np.fft.rfft(x)) / max(1, len(x))
     magnitude[1:-1] *= 2
-    f = np.arange(len(magnitude)) * (rate / len(x))
+    f = np.arange(len(magnitude)) * (rate / max(1, len(x)))
     band = (f >= q.f_min) & (f <= top)
-    f, spectrum = f[band], magnitude[band]
-    if len(f) < 2:
-        return none
-    if q.sigma > 0:
-        cents = 6900 + 1200 * np.log2(f / 440)
-        first, last = math.ceil(cents[0] / q.resolution), math.floor(cents[-1] / q.resolution)
-        grid = np.arange(first, last + 1) * q.resolution
-        if len(grid) < 2:
-            return none
-        reach = math.ceil(4 * q.sigma / q.resolution)
-        kernel = np.exp(-((np.arange(-reach, reach + 1) * q.resolution) ** 2) / (2 * q.sigma**2))
-        spectrum = np.convolve(np.maximum(pchip(cents, spectrum, grid), 0), kernel / kernel.sum(), mode="same")
-        f = 440 * 2 ** ((grid - 6900) / 1200) if len(spectrum) == len(grid) else f
-    if spectrum.max() == 0:
-        return none
-    at = prominent(spectrum, q.min_prominence * spectrum.max())
+    f, magnitude = f[band], magnitude[band]
+    if len(f) < 2 or q.sigma <= 0:
+        return Spectrum(f, magnitude, f, magnitude)
+    cents = 6900 + 1200 * np.log2(f / 440)
+    first, last = math.ceil(cents[0] / q.resolution), math.floor(cents[-1] / q.resolution)
+    grid = np.arange(first, last + 1) * q.resolution
+    if len(grid) < 2:
+        return Spectrum(f, magnitude, none, none)
+    reach = math.ceil(4 * q.sigma / q.resolution)
+    kernel = np.exp(-((np.arange(-reach, reach + 1) * q.resolution) ** 2) / (2 * q.sigma**2))
+    smooth = np.convolve(np.maximum(pchip(cents, magnitude, grid), 0), kernel / kernel.sum(), mode="same")
+    at = 440 * 2 ** ((grid - 6900) / 1200)
+    return Spectrum(f, magnitude, at if len(smooth) == len(at) else 440 * 2 ** (((np.arange(len(smooth)) + first) * q.resolution - 6900) / 1200), smooth)
+
+
+def peaks(x: np.ndarray, rate: int, q: PeakParams) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies in Hz and weights relative to the strongest."""
+    found = spectrum(x, rate, q)
+    f, value = found.at, found.value
+    if len(f) < 2 or value.max() == 0:
+        return np.zeros(0), np.zeros(0)
+    at = prominent(value, q.min_prominence * value.max())
     if q.noise_factor > 0:
-        at = at[spectrum[at] > q.noise_factor * np.median(spectrum)]
-    return (f[at], spectrum[at] / spectrum[at].max()) if len(at) else none
+        at = at[value[at] > q.noise_factor * np.median(value)]
+    return (f[at], value[at] / value[at].max()) if len(at) else (np.zeros(0), np.zeros(0))
 
 
-def audio_peaks(spark: SparkSession, path: str, params: PeakParams = PeakParams()) -> DataFrame:
-    """(path, f, w): a row for each peak of each file below a path; files without peaks give none."""
+def _each_file(files: DataFrame, schema: str, result: Callable[[bytes], list[np.ndarray]]) -> DataFrame:
+    """Columns of arrays for each row (path, content)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                columns = result(content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(columns[0]), pa.string()), *map(pa.array, columns)], names)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def peaks_of(files: DataFrame, params: PeakParams = PeakParams()) -> DataFrame:
+    """(path, f, w): a row for each peak of each row (path, content)."""
     if params.f_min >= params.f_max:
         raise ValueError("f_min must be below f_max")
+    return _each_file(files, "path string, f double, w double", lambda content: [np.asarray(x, float) for x in peaks(*decode(content), params)])
+
+
+def spectra_of(files: DataFrame, params: PeakParams = PeakParams(), smoothed: bool = False) -> DataFrame:
+    """(path, f, magnitude): the detail behind the peaks, the transform's magnitudes in the band or the smoothed ones."""
+
+    def result(content: bytes) -> list[np.ndarray]:
+        found = spectrum(*decode(content), params)
+        return [found.at, found.value] if smoothed else [found.f, found.magnitude]
+
+    return _each_file(files, "path string, f double, magnitude double", result)
+
+
+def samples_of(files: DataFrame) -> DataFrame:
+    """(path, rate, samples) of each sound, mono."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                f, w = peaks(*decode(content.as_py()), params)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(f), pa.string()), pa.array(f), pa.array(w)], ["path", "f", "w"])
+                x, rate = decode(content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rate], pa.int32()), pa.array([x], pa.list_(pa.float64()))], ["path", "rate", "samples"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, rate int, samples array<double>")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, f double, w double")
+
+def read_sounds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def audio_peaks(spark: SparkSession, path: str, params: PeakParams = PeakParams()) -> DataFrame:
+    """(path, f, w): a row for each peak of each file below a path; files without peaks give none."""
+    return peaks_of(read_sounds(spark, path), params)

@@ -23,5 +23,5 @@ def part_classes(spark: SparkSession, sf_dir: str, unit: float = 1.0) -> DataFra
 
 
 def value_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values as frequencies, for each user and event type, with weight 1."""
-    return read(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("set_id"), F.col("value").alias("p"), F.lit(1.0).alias("w"))
+    """Event values above 0 as frequencies, for each user and event type, with weight 1; others are no frequency."""
+    return read(spark, sf_dir, "events").where("value > 0").select(F.concat_ws("/", "user_id", "event_type").alias("set_id"), F.col("value").alias("p"), F.lit(1.0).alias("w"))

@@ -1,5 +1,6 @@
 """Known values and invariants of every operator."""
 
+import itertools
 import math
 
 import numpy as np
@@ -8,8 +9,8 @@ from brute import apm, coherence, cosine, inner
 from pyspark.sql import functions as F
 
 from pitchloom.functions.pitch import convert_pitch, register
-from pitchloom.model import SpectrumSpec, TensorParams
-from pitchloom.operators import batch, circular, harmony, spectra, tensor
+from pitchloom.model import SpectrumSpec, TensorParams, multiset
+from pitchloom.operators import batch, circular, harmony, profiles, spectra, tensor
 from pitchloom.plans import cost, grids
 
 DIATONIC, WHOLE, CLAVE = (0, 2, 4, 5, 7, 9, 11), (0, 2, 4, 6, 8, 10), (0, 3, 6, 10, 12)
@@ -230,14 +231,98 @@ def test_harmonicity(spark, sets):
     assert one(harmony.tensor_harmonicity(sets({"j": JI}), size=3, spectrum=spec), "h") == pytest.approx(0.2656406522)
 
 
+def brute_density(chord, offsets, weights, copies, sigma):
+    """All ordered tuples of distinct elements over the copies of a template."""
+    elements, k, total = [(o, w) for o, w in zip(offsets, weights) for _ in range(copies)], len(chord), 0.0
+    x = sorted(chord)
+    for tup in itertools.permutations(elements, k):
+        d = [u - tup[0][0] - (b - x[0]) for (u, _), b in zip(tup[1:], x[1:])]
+        total += math.prod(w for _, w in tup) * math.exp(-(sum(v * v for v in d) - sum(d) ** 2 / k) / (2 * sigma**2))
+    return total
+
+
+@pytest.mark.parametrize("chord, partials, duplicate", [((0, 400), 6, 0), ((0, 0, 700), 5, 0), ((0, 390, 702), 4, 2), ((0, 0, 0, 1200), 3, 0), ((0, 300, 700, 1190), 4, 1)])
+def test_tensor_harmonicity_against_brute_force(spark, sets, chord, partials, duplicate):
+    spec = SpectrumSpec.of("harmonic", partials, "powerlaw", 1)
+    offsets, weights = 1200 * np.log2(np.arange(1, partials + 1)), 1 / np.arange(1, partials + 1)
+    expected = brute_density(chord, offsets, weights, duplicate or len(chord), 12)
+    got = one(harmony.tensor_harmonicity(sets({"c": chord}), spectrum=spec, duplicate=duplicate), "h")
+    assert got == pytest.approx(expected, rel=1e-9, abs=1e-12)
+    if len(chord) == 2:
+        unit = one(harmony.tensor_harmonicity(sets({"c": chord}), spectrum=spec, normalize="pdf"), "h")
+        mass = math.fsum(math.prod(w for _, w in t) for t in itertools.permutations([(o, w) for o, w in zip(offsets, weights) for _ in range(2)], 2))
+        assert unit == pytest.approx(expected / mass / math.sqrt(2 * math.pi * 144) * math.sqrt(0.5))
+
+
+def test_tensor_harmonicity_of_other_sizes(spark, sets):
+    got = {r.set_id: r.h for r in harmony.tensor_harmonicity(sets({"three": MAJOR, "one": (5,), "four": (0, 400, 700, 1000)}), size=3).collect()}
+    assert got["three"] > 0 and got["one"] is None and got["four"] is None
+    assert one(harmony.tensor_harmonicity(sets({"four": (0, 400, 700, 1000)})), "h") > 0  # 64 partials, four pitches
+
+
+def test_spectral_entropy_is_whole_at_its_reach(spark, sets):
+    near, far = (one(harmony.spectral_entropy(sets({"a": JI}), reach=reach), "entropy") for reach in (9.0, 39.0))
+    assert near == pytest.approx(far, rel=1e-12)
+
+
+def test_profiles(spark):
+    rng = np.random.default_rng(4)
+    values = {k: rng.integers(0, 9, 60).astype(float) for k in ("a", "b")}
+    df = spark.createDataFrame([(k, float(i), float(v)) for k, vs in values.items() for i, v in enumerate(vs)], "set_id string, x double, value double")
+    got = profiles.peaks(df, 2.0, 5.0, 4).orderBy("set_id", "rank").collect()
+    for k, y in values.items():
+        own = [(r.x, r.value) for r in got if r.set_id == k]
+        assert 0 < len(own) <= 4 and all(y[int(x)] == v for x, v in own) and [v for _, v in own] == sorted((v for _, v in own), reverse=True)
+        assert all(abs(a[0] - b[0]) >= 5 for a, b in itertools.combinations(own, 2))
+        assert own[0][1] == max(y[1:-1][[y[i] > y[i - 1] and y[i] >= y[i + 1] for i in range(1, 59)]])
+    squeezed = profiles.gamma_compress(df, "value", 2.0, "set_id").collect()
+    for r in squeezed:
+        y = values[r.set_id]
+        assert r.value == pytest.approx(((y[int(r.x)] - y.min()) / np.ptp(y)) ** 2 * np.ptp(y) + y.min())
+    flat = df.withColumn("value", F.lit(3.0))
+    assert {r.value for r in profiles.gamma_compress(flat, "value", 2.0).collect()} == {3.0}
+    above = profiles.above_floor(df, 1.0).groupBy("set_id").count().collect()
+    assert {r.set_id: r["count"] for r in above} == {k: int((v > np.median(v)).sum()) for k, v in values.items()}
+
+
+def test_generator_sweep():
+    """A mirrored sweep has its peaks twice, and the labels keep their distance."""
+    y = np.array([0, 1, 0, 3, 0, 2, 0, 3, 0, 1, 0.0])
+    assert profiles.spaced(np.arange(5.0), np.array([1, 3, 2, 3, 1.0]), 2, None) == [1, 3]
+    assert profiles.spaced(np.arange(5.0), np.array([1, 3, 2, 3, 1.0]), 0, 3) == [1, 3, 2]
+    assert y[np.array(profiles.spaced(np.arange(len(y)), y, 4, 2))].tolist() == [3, 3]
+
+
+def test_weights(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, 3.0), ("a", float("nan"), 1.0)], "set_id string, p double, w double")
+    assert sorted((r.p, r.w) for r in multiset(df).collect()) == [(1, 1), (2, 3)]
+    assert {r.w for r in multiset(df, w=0.5).collect()} == {0.5} and {r.w for r in multiset(df, w=None).collect()} == {1.0}
+    rows = spark.createDataFrame([(1, [0.0, 4.0, 7.0], [0.0, 4.0, 7.0], [0.5]), (2, [0.0, 4.0, 7.0], [0.0, 4.0, 7.0], []), (3, None, [1.0], None)], "row_id int, a array<double>, b array<double>, wa array<double>")
+    t = TensorParams(1.0, 2, False, True, 12)
+    assert {r.row_id: r.similarity for r in batch.batch_cos_sim(rows, t, weights_a="wa").collect()} == pytest.approx({1: 1.0, 2: 1.0, 3: None})
+    with pytest.raises(Exception, match="as many as positions"):
+        batch.batch_cos_sim(rows.withColumn("wa", F.array(F.lit(1.0), F.lit(2.0))), t, weights_a="wa").collect()
+
+
+def test_merged_differences_change_nothing(spark, sets):
+    """Large relative sets merge equal differences first; small ones do not."""
+    t = TensorParams(10, 2, True, True, 1200)
+    p, w = [1200 * i / 24 for i in range(24)], [1 + i % 3 for i in range(24)]
+    expected = cosine(p, w, JI, (1, 1, 1), 10, 2, True, True, 1200)
+    assert one(tensor.cosine_with(sets({"a": list(zip(p, w))}), "ji", JI, t), "similarity") == pytest.approx(expected, rel=1e-9)
+
+
 def test_roughness(spark, sets):
     r = lambda x, **k: one(harmony.roughness(sets({"a": x}), **k), "roughness")
     assert r((440,)) == 0 and r((300, 330)) == pytest.approx(0.8667171162)
     assert r((300, 300, 330), average=True) == pytest.approx(2 * 0.8667171162 / 3)
     chord = [(440 * 2 ** ((m - 69) / 12) * n, 1 / n) for m in (60, 64, 67) for n in range(1, 9)]
     assert r(chord) == pytest.approx(2.8427313259)
-    with pytest.raises(Exception, match="must be positive"):
-        r((0, 300))
+    for bad in ((0, 300), (-5, 300)):
+        with pytest.raises(Exception, match="must be positive"):
+            r(bad)
+    mixed = sets({"zero": (0, 300), "good": (300, 330)}).union(spark.createDataFrame([("null", None, 1.0)], "set_id string, p double, w double"))
+    assert [(x.set_id, round(x.roughness, 6)) for x in harmony.roughness(mixed, on_invalid="null").collect()] == [("good", 0.866717)]
 
 
 def test_cost():

@@ -2,12 +2,14 @@
 
 import math
 import wave
+from importlib.util import find_spec
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pitchloom import queries
 from pitchloom.sources import audio
 from pitchloom.streaming.circular import windowed_balance
 
@@ -31,6 +33,50 @@ def test_peaks_of_formats(tmp_path, spark, width, channels):
     assert [f for f, _ in got] == pytest.approx([440, 1000]) and [w for _, w in got] == pytest.approx([1, 0.5], abs=0.02)
 
 
+@pytest.mark.parametrize("kind", ["pcm8", "pcm16", "pcm24", "pcm32", "float32", "float64"])
+def test_encoded_sounds_are_read_back(kind):
+    t = np.arange(4410) / 44100
+    x = 0.5 * np.sin(2 * np.pi * 440 * t)
+    for channels in (1, 2):
+        got, rate = audio.decode(audio.encode(x, 44100, kind, channels))
+        assert rate == 44100 and np.abs(got - x).max() < (0.01 if kind == "pcm8" else 1e-4)
+    plain = audio.encode(x, 44100, kind)
+    head = bytearray(plain[20:36])
+    kind_of = head[:2]
+    head[:2] = b"\xfe\xff"
+    extensible = plain[:16] + (40).to_bytes(4, "little") + bytes(head) + (22).to_bytes(2, "little") + b"\0" * 6 + bytes(kind_of) + b"\0" * 14 + plain[36:]
+    assert audio.decode(extensible)[0] == pytest.approx(audio.decode(plain)[0])
+
+
+def test_other_formats_need_soundfile():
+    if find_spec("soundfile"):
+        pytest.skip("soundfile is here")
+    with pytest.raises(ValueError, match="WAV"):
+        audio.decode(b"fLaC" + b"\0" * 40)
+    with pytest.raises(ValueError, match="is not read"):
+        audio.decode(audio.encode(np.zeros(8), 8000).replace((1).to_bytes(2, "little"), (7).to_bytes(2, "little"), 1))
+
+
+def test_details_of_sounds(spark):
+    files = queries.sounds(spark)
+    found = {r.path: r for r in audio.samples_of(files).collect()}
+    assert len(found) == 5 and all(len(r.samples) == r.rate == 44100 for r in found.values())
+    raw = audio.spectra_of(files).where("path = 'tone A4'").orderBy(F.desc("magnitude")).first()
+    assert raw.f == pytest.approx(440)
+    smooth = audio.spectra_of(files, audio.PeakParams(sigma=9.0), smoothed=True).where("path = 'tone A4'").orderBy(F.desc("magnitude")).first()
+    assert smooth.f == pytest.approx(440, rel=2e-3)
+
+
+def test_workflows(spark):
+    best = queries.generator_peaks(spark).orderBy("rank").collect()
+    assert len(best) == 15 and best[0].similarity == best[1].similarity and best[0].generator + best[1].generator == pytest.approx(1200)
+    assert all(abs(a.generator - b.generator) >= 24 for i, a in enumerate(best) for b in best[:i])
+    assert {(r.a_id, r.b_id) for r in queries.audio_similarity(spark).where("similarity between 0 and 1").collect()} == {(a, b) for a in queries.SOUNDS for b in queries.SOUNDS if a < b}
+    assert queries.audio_features(spark).where("n_smooth between 1 and n_plain + 2 and entropy between 0 and 1").count() == 5
+    trials = entry.queries()["batch_chord_harmonicity"](spark, "").collect()
+    assert len(trials) == 144 and len({(r.chord, r.h) for r in trials}) == 4  # every root of a type has the same intervals
+
+
 def test_smoothed_peaks(tmp_path, spark):
     tone(tmp_path / "a.wav", [(440, 1), (660, 0.8)])
     got = sorted(r.f for r in audio.audio_peaks(spark, str(tmp_path), audio.PeakParams(sigma=12, noise_factor=2)).collect())
@@ -103,7 +149,7 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", ["similarity_profiles", "balance_hours", "coherence_strict", "batch_spcs", "roughness_p1", "tensor_harmonicity_triads"])
+@pytest.mark.parametrize("name", ["similarity_profiles", "balance_hours", "coherence_strict", "batch_spcs", "roughness_p1", "tensor_harmonicity_triads", "edo_approximation", "generator_chains", "batch_scales_chords", "triad_measures"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
