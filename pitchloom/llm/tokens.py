@@ -2,7 +2,7 @@
 
 A byte pair encoder of these files never merges across the step from a non-space to a space character, so a text's
 ids are the ids of its stretches (a word with the space before it) in order. Stretches repeat, so their ids are
-kept in a table of bounded size; texts with unusual white space are encoded whole.
+kept in a table of bounded size; texts with unusual white space or a special token's string are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,18 +21,19 @@ _START = "\x01"
 
 
 class Encoder:
-    """ids(texts) for one tokenizer file; special-token strings in a text are ordinary text.
+    """ids(texts) for one tokenizer file, as the file alone has it: a special token's string in a text is that token.
 
-    cache_entries bounds the table of stretches; when it is full it is emptied and filled anew, which costs time
+    With plain, such strings are ordinary text (a text cannot then name a control id). cache_entries bounds the table of stretches; when it is full it is emptied and filled anew, which costs time
     and changes no id.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.cache_entries = cache_entries
         self._reset()
@@ -91,9 +92,9 @@ class Encoder:
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """A uint16 array of ids for each text (these vocabularies have fewer than 65,536 ids)."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd, cut = [], []
+        odd, cut, special = [], [], self.special
         for i, t in enumerate(texts):
-            if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or "\x01" in t or _ODD.search(t):
+            if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or "\x01" in t or _ODD.search(t) or any(s in t for s in special):
                 odd.append(i)
             else:
                 parts = (t.lower() if self.folds and t.isascii() else t).replace("\n", " \n").split(" ")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from pitchloom.llm import common, packing, token_counts, token_files
 from pitchloom.llm.tokens import Encoder, encoder, vocabulary
@@ -13,8 +14,11 @@ from pitchloom.llm.tokens import Encoder, encoder, vocabulary
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
 
+_plain = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
+
+
 def whole(path, text):
-    return encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return _plain[path].encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -24,6 +28,19 @@ def test_stretches_equal_whole_texts(path, text):
     assert encoder(path).ids([text])[0].tolist() == whole(path, text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=100, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "a", "word", ".", "\n", "<|", "|>"]), max_size=12))
+def test_special_strings_are_as_in_the_file(path, parts):
+    text = "".join(parts)
+    assert encoder(path).ids([text])[0].tolist() == whole(path, text)
+
+
+def test_special_strings_as_text():
+    assert Encoder(BYTE).ids(["<|endoftext|>"])[0].tolist() == [50256]
+    assert len(Encoder(BYTE, plain=True).ids(["<|endoftext|>"])[0]) > 1
+
+
 def test_cache_is_emptied_without_effect():
     small = Encoder(BYTE, cache_entries=5)
     texts = [f"word{i} and, more{i}." for i in range(50)]
