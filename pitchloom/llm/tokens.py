@@ -33,8 +33,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a stretch is folded before it is encoded, so strings that fold to a special one are held apart, too
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE if self.folds else 0) if added else None
+        self.special_heads = {a[0] for a in added}
         self.cache_entries = cache_entries
         self._reset()
 
@@ -89,12 +92,15 @@ class Encoder:
             sizes = (self.begin[at + 1] - self.begin[at]).sum(axis=1)
             self._append([s for s, _, _ in joined], sizes, self._gather(at.ravel()))
 
+    def _special(self, text: str) -> bool:
+        return any(c in text for c in self.special_heads) and self.special.search(text) is not None
+
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """A uint16 array of ids for each text (these vocabularies have fewer than 65,536 ids)."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd, cut, special = [], [], self.special
+        odd, cut = [], []
         for i, t in enumerate(texts):
-            if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or "\x01" in t or _ODD.search(t) or any(s in t for s in special):
+            if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or "\x01" in t or _ODD.search(t) or self._special(t):
                 odd.append(i)
             else:
                 parts = (t.lower() if self.folds and t.isascii() else t).replace("\n", " \n").split(" ")
