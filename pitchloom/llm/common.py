@@ -43,10 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is unset (local runs and tests) a folder of this machine is made and set once.
+    Where that setting is unset, a local session (tests) gets a folder of this machine, set once; any other is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pitchloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -56,7 +58,17 @@ def durable(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     """Write a table to the shared folder and read it back: lineage ends and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of durable() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -87,26 +99,31 @@ def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa
 
 
 def range_splits(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most parts - 1 ascending split values of a numeric key, at about equal numbers of rows."""
+    """parts - 1 ascending split values of a numeric key, at about equal numbers of rows; a value of many rows repeats."""
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(key, at, max(10_000, 20 * parts)).alias("s")).first()["s"]
-    return sorted(set(found or []))
+    return sorted(found or [])
 
 
-def range_bucket(key: str, splits: Sequence[int]) -> Column:
+def range_bucket(key: str, splits: Sequence[int], tie: Column | None = None) -> Column:
     """Number of splits below an integer key, so that buckets ascend with it; a null key counts as the least.
 
-    Only the key goes to Python; the splits are a bounded array (one for each bucket).
+    Where a split repeats, its key fills several buckets: its rows are dealt over them by ``tie`` (a hash), ascending, so
+    no key is one task's alone. Only key and tie go to Python; the splits are a bounded array (one for each bucket).
     """
     at = np.array(splits, np.int64)
 
     @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, x.to_numpy(np.int64), side="left").astype(np.int32))
-
-    return bucket(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)))
+    def bucket(x: pd.Series, h: pd.Series) -> pd.Series:
+        keys = x.to_numpy(np.int64)
+        first = np.searchsorted(at, keys, side="left")
+        several = np.searchsorted(at, keys, side="right") - first
+        share = (h.to_numpy(np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+        return pd.Series((first + np.floor(np.minimum(share, 1 - 2.0**-53) * several)).astype(np.int32))
+
+    return bucket(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.lit(-(2**63)) if tie is None else tie)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

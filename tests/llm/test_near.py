@@ -160,18 +160,83 @@ def test_lexicon_is_exact(spark, corpus):
         assert fingerprints.lexicon(corpus.repartition(3), 0.05, 0.3, part=part).tolist() == expected
 
 
+def brute_signatures(text, lexicon, subsets=32, seed=11):
+    """From the definition: term by term and subset by subset, with Python's own numbers."""
+    seeds = np.random.default_rng(seed).integers(0, 2**63, subsets, np.uint64).tolist()
+    most = 2**64 - 1
+
+    def level(term, s):
+        x = term ^ s
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & most
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & most
+        x ^= x >> 31
+        return (x & -x).bit_length() - 1 if x else 64
+
+    words = sorted({xxhash.xxh64_intdigest(w) for w in (text or "").encode().split()})
+    listed = [t for t in words if t in lexicon]
+    out = {}
+    for mark, held, used in (("l", listed, len(listed) >= 4), ("w", words, len(listed) < 4 or len(words) < 32)):
+        if used:
+            first = max(0, round(np.log2(len(held)))) if held else 0
+            for k in range(first, first + 5):
+                out[mark, k] = []
+                for s in seeds:
+                    own = [t for t in held if level(t, s) >= k]
+                    out[mark, k].append(f"{xxhash.xxh64_intdigest(b''.join(t.to_bytes(8, 'little') for t in own)) & 0xFFFFFFFF:08x}" if own else "")
+    return out
+
+
+def brute_likeness(x, y):
+    same = either = 0
+    for k in x:
+        if k in y:
+            for p, q in zip(x[k], y[k]):
+                if p or q:
+                    either += 1
+                    same += p == q
+    return 1.0 if x == y else same / either if either else 0.0
+
+
+def test_signatures_against_brute_force(spark, corpus, odd_documents):
+    lexicon = fingerprints.lexicon(corpus)
+    sign, known = fingerprints.Signer(lexicon), set(lexicon.tolist())
+    texts = [r.text for r in corpus.limit(25).collect() if len(r.text or "") < 20_000] + [r.text for r in odd_documents.collect() if len(r.text or "") < 9000] + ["", "one", "a b c d"]
+    brute = [brute_signatures(t, known) for t in texts]
+    marks = [sign(t or "") for t in texts]
+    assert [fingerprints.signatures(m) for m in marks] == brute
+    for (a, x), (b, y) in itertools.combinations(list(zip(marks, brute)), 2):
+        assert fingerprints.likeness(a, b) == pytest.approx(brute_likeness(x, y))
+
+
 def test_unlike_short_texts_sign_unlike():
-    """One to five terms of the lexicon are often in none of the subsets."""
+    """One to five terms of the lexicon, with or without other words."""
     named = [f"term{i}" for i in range(600)]
     sign = fingerprints.Signer(np.sort(np.fromiter(fingerprints.terms(" ".join(named)), np.uint64)))
     texts = [" ".join(named[i : i + k]) for k in (1, 3, 5) for i in range(0, 600, 5)]
     marks = [sign(t) for t in texts]
-    assert all(m.strip(".") for m in marks)
-    plain = [m for m in marks if m[0] == "w"]
-    assert len(plain) > 60 and len(set(plain)) == len(plain)
-    assert max(fingerprints.likeness(a, b) for a, b in itertools.combinations(plain, 2)) == 0
-    assert sign("term1 other") != sign("term1 else") or not sign("term1 other").startswith("w")
-    assert sign("") == sign(" ") and fingerprints.likeness(sign(""), sign("")) == 1
+    assert len(set(marks)) == len(set(texts))
+    assert max(fingerprints.likeness(a, b) for a, b in itertools.combinations(marks[:120], 2)) == 0
+    assert sign("term1 other") != sign("term1 else")
+    assert sign("") == sign(" ") and fingerprints.likeness(sign(""), sign("")) == 1 and fingerprints.likeness(sign(""), sign("a")) == 0
+
+
+def test_half_edited_texts_are_nearer_than_the_next(spark):
+    """In every band of length, for nine in ten documents; those of a few words lose them to the cut."""
+    rows = fingerprints.query(spark, "/root/testdata/sf0.1").collect()
+    for low, high, share in ((0, 100, 0.7), (100, 300, 0.9), (300, 1000, 0.9), (1000, 3000, 0.9), (3000, 10_000, 0.9), (10_000, 10**9, 0.9)):
+        own = [r for r in rows if low < r.n_chars <= high]
+        assert sum(r.near_edited > r.near_next for r in own) / len(own) > share, (low, high)
+
+
+def test_an_id_of_many_rows_fills_several_ranges(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(100, 150)], "doc_id long, text string")
+    rows = fingerprints.with_next(docs, 8).collect()
+    own = Counter(r.b for r in rows if r.k == 7 and not r.extra)
+    assert len(own) >= 5 and sum(own.values()) == 300 and max(own.values()) < 100
+    found = fingerprints.fingerprint(docs).collect()
+    assert len(found) == 350 and Counter(r.doc_id for r in found)[7] == 300
+    texts = sorted(r.text for r in docs.collect())
+    assert all(any(hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest() == r.edited_sha256 for t in texts if len(t) == r.n_chars for u in texts) for r in found[:20])
 
 
 def check_fingerprints(rows, docs):
