@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +79,7 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with Python's cyclic collector off: the hot loops make millions of strings and no cycles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +99,40 @@ def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def named(columns: Sequence[str], name: str) -> int:
+    """Place of a column: of that very name, or else of that name in another case."""
+    return list(columns).index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
+
+
+def extend(docs: DataFrame, inputs: Sequence[str], added: dict[str, str], function: Callable[..., list[pa.Array]], rows: int = 512) -> DataFrame:
+    """docs with columns made by function(an array for each input) from slices of rows.
+
+    Columns of docs that have an added name, in whatever case, give way to it; all others stay, whatever their names.
+    """
+    names = docs.columns
+    fresh = {a.lower() for a in added}
+    kept = [i for i, c in enumerate(names) if c.lower() not in fresh]
+    at = [named(names, c) for c in inputs]
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    schema = T.StructType([numbered.schema[f"_{i}"] for i in kept] + T.StructType.fromDDL(", ".join(f"{a} {kind}" for a, kind in added.items())).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, rows):
+            made = function(*[batch.column(f"_{i}") for i in at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"_{i}") for i in kept), *made], [*(f"_{i}" for i in kept), *added])
+
+    needed = [f"_{i}" for i in sorted({*kept, *at})]
+    return map_batches(numbered.select(*needed), run, schema).toDF(*[names[i] for i in kept], *added)
+
+
+def filtered(docs: DataFrame, inputs: Sequence[str], added: dict[str, str], function: Callable[..., list[pa.Array]], condition: Column, rows: int = 512) -> DataFrame:
+    """The rows of docs whose added columns meet the condition, with docs' own columns, whatever their names."""
+    names = docs.columns
+    at = [f"_{named(names, c)}" for c in inputs]
+    found = extend(docs.toDF(*[f"_{i}" for i in range(len(names))]), at, added, function, rows)
+    return found.where(condition).drop(*added).toDF(*names)
+
+
 def range_splits(df: DataFrame, key: str, parts: int) -> list[int]:
     """parts - 1 ascending split values of a numeric key, at about equal numbers of rows; a value of many rows repeats."""
     if parts < 2:

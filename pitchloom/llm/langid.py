@@ -5,9 +5,9 @@ vectors of its letters, each permuted (rotated) by its place; a text's vector bu
 language's prototype those of its training texts. A document is given the language of greatest cosine.
 
 Training is one pass over all training texts: since bundling is linear, a prototype is the sum of each trigram's
-vector times its count, so tasks only count trigrams for each language and the counts are summed by Spark. The
-prototypes are (languages x dimensions), made by as many tasks as there are groups of trigrams. Counts are whole
-numbers, so reruns agree.
+vector times its count, so tasks only count trigrams for each language, Spark sums the counts, tasks bundle what they
+have, and Spark sums that: (languages x dimensions) numbers reach the driver. All are whole numbers, so reruns agree.
+Tables in a task are emptied at a size, so a text of any length and alphabet fits.
 
 Letters are lower-cased; runs of anything else are one space. Code points beyond the first 1,024 share 1,024 hashed
 places, which bounds the vectors of any corpus.
@@ -15,12 +15,12 @@ places, which bounds the vectors of any corpus.
 Cases: a null text, or one without a letter, is ``und`` with score 0; a text of one or two letters has no whole
 trigram inside it but those with the spaces around it; null languages and null ids are not learned from; ties go to
 the language that sorts first; with no language learned, all is ``und``; repeated rows are predicted alike; an empty
-table gives no row; other columns, whatever their names, are ignored.
+table gives no row; other columns, whatever their names, are kept, but one of the result's names gives way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,8 @@ from . import common
 DIRECT, HASHED = 1024, 1024
 PLACES = DIRECT + HASHED
 UNDETERMINED = "und"
+#: Trigrams whose dense counts and vectors are held at once, and distinct trigrams that tell a language.
+BLOCK, TELLING = 8192, 10
 
 
 @lru_cache(1)
@@ -80,7 +82,7 @@ def trigram_vectors(ids: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
 class Vectors:
     """A worker's table of trigram vectors, as 32-bit floats; emptied when it holds most trigrams it may."""
 
-    def __init__(self, dimensions: int, seed: int, most: int = 60_000):
+    def __init__(self, dimensions: int, seed: int, most: int = 40_000):
         self.dimensions, self.seed, self.most = dimensions, seed, most
         self._empty()
 
@@ -91,8 +93,20 @@ class Vectors:
 
     def bundle(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """A row for each text: its dense counts of the trigrams that the texts have, times those trigrams' vectors."""
-        sizes = [len(ids) for ids, _ in counted]
+        row = np.repeat(np.arange(len(counted)), [len(ids) for ids, _ in counted])
         ids, column = np.unique(np.concatenate([ids for ids, _ in counted]), return_inverse=True)
+        n = np.concatenate([n for _, n in counted])
+        out = np.zeros((len(counted), self.dimensions), np.float32)
+        order = np.argsort(column, kind="stable")
+        for at in range(0, len(ids), BLOCK):
+            own = order[np.searchsorted(column[order], at) : np.searchsorted(column[order], at + BLOCK)] if len(ids) > BLOCK else order
+            part = ids[at : at + BLOCK]
+            counts = np.zeros((len(counted), len(part)), np.float32)
+            counts[row[own], column[own] - at] = n[own]
+            out += counts @ self._vectors(part)
+        return out
+
+    def _vectors(self, ids: np.ndarray) -> np.ndarray:
         fresh = np.setdiff1d(ids, self.ids, assume_unique=True)
         if len(fresh):
             if len(self.ids) + len(fresh) > self.most:
@@ -103,35 +117,49 @@ class Vectors:
             self.ids = np.r_[self.ids, fresh]
             order = np.argsort(self.ids, kind="stable")
             self.ids, self.at = self.ids[order], self.at[order]
-        counts = np.zeros((len(counted), len(ids)), np.float32)
-        counts[np.repeat(np.arange(len(counted)), sizes), column] = np.concatenate([n for _, n in counted])
-        return counts @ self.table[self.at[np.searchsorted(self.ids, ids)]]
+        return self.table[self.at[np.searchsorted(self.ids, ids)]]
 
 
-def count_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, trigram, n) over all texts with a language, counted by task and then summed."""
+def count_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 1_000_000) -> DataFrame:
+    """(lang, trigram, n) over all texts with a language, counted by task and then summed.
+
+    A task reports what it has when that is ``most`` trigrams, and begins anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        pending = 0
 
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             ids, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return ids, np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
+        def report() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                ids, n = parts[0] if len(parts) == 1 else merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids), pa.array(n)], ["lang", "trigram", "n"])
+            held.clear()
+
         for batch in common.in_slices(batches):
             for lang, text in zip(batch.column("l").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                held.setdefault(lang, []).append(trigram_counts(text))
-            held = {k: [merged(v)] if len(v) > 1 else v for k, v in held.items()}
-        for lang, parts in held.items():
-            ids, n = parts[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids), pa.string()), pa.array(ids), pa.array(n)], ["lang", "trigram", "n"])
+                found = trigram_counts(text)
+                held.setdefault(lang, []).append(found)
+                pending += len(found[0])
+                if pending > most:
+                    for k, v in held.items():
+                        held[k] = [merged(v)]
+                    pending = sum(len(v[0][0]) for v in held.values())
+                    if 2 * pending > most:  # merging no longer helps
+                        yield from report()
+                        pending = 0
+        yield from report()
 
     data = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
     return common.map_batches(data, run, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
 
 
 def prototypes(profiles: DataFrame, dimensions: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their prototypes; each task bundles what it has, and the driver adds whole numbers."""
+    """Languages in order, and their prototypes; each task bundles what it has, and Spark adds whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -142,49 +170,64 @@ def prototypes(profiles: DataFrame, dimensions: int, seed: int) -> tuple[list[st
                 part = n[own].astype(np.float64) @ trigram_vectors(ids[own], dimensions, seed).astype(np.float64)
                 sums[lang] = sums.get(lang, 0) + np.rint(part).astype(np.int64)
         for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([str(lang)]), pa.array([v.tolist()], pa.list_(pa.int64()))], ["lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
 
+    summed = common.map_batches(profiles, run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     total: dict[str, np.ndarray] = {}
-    for r in common.map_batches(profiles, run, "lang string, v array<long>").toLocalIterator():
-        total[r.lang] = total.get(r.lang, 0) + np.array(r.v, np.int64)
+    for r in summed.collect():  # languages x dimensions
+        total.setdefault(r.lang, np.zeros(dimensions, np.int64))[r.i] = r.v
     langs = sorted(total)
     return langs, np.array([total[x] for x in langs], np.float64).reshape(len(langs), dimensions)
 
 
-def identify(docs: DataFrame, training: DataFrame, *, lang_col: str = "lang", text_col: str = "text", dimensions: int = 512, seed: int = 7) -> DataFrame:
-    """docs with lang_pred and score (the cosine, 0 if negative), learned from the rows of training."""
+def predictor(training: DataFrame, lang_col: str, text_col: str, dimensions: int, seed: int) -> Callable[[pa.Array], list[pa.Array]]:
+    """A function of an array of texts: the language, the cosine and the number of distinct trigrams of each."""
     langs, vectors = prototypes(count_profiles(training, lang_col, text_col), dimensions, seed)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Vectors(dimensions, seed)
-        for batch in common.in_slices(batches, 128):
-            counted = [trigram_counts(t or "") for t in batch.column(text_col).to_pylist()]
-            found, scores = [UNDETERMINED] * len(counted), [0.0] * len(counted)
-            some = [i for i, (ids, _) in enumerate(counted) if len(ids)]
-            if some and langs:
-                v = table.bundle([counted[i] for i in some])
-                cosines = np.round(v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30), 5)
-                for i, best, score in zip(some, cosines.argmax(axis=1), np.clip(cosines.max(axis=1), 0, 1).tolist(), strict=True):
-                    found[i], scores[i] = langs[best], score
-            keep = [i for i, c in enumerate(batch.schema.names) if c not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names[i] for i in keep), "lang_pred", "score"])
-
-    schema = "".join(f"`{c}` {kind}, " for c, kind in docs.dtypes if c not in ("lang_pred", "score")) + "lang_pred string, score double"
-    return common.map_batches(docs, run, schema)
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.05) -> DataFrame:
+    def predict(texts: pa.Array) -> list[pa.Array]:
+        table = worker_vectors(dimensions, seed)
+        counted = [trigram_counts(t or "") for t in texts.to_pylist()]
+        found, scores = [UNDETERMINED] * len(counted), [0.0] * len(counted)
+        some = [i for i, (ids, _) in enumerate(counted) if len(ids)]
+        if some and langs:
+            v = table.bundle([counted[i] for i in some])
+            cosines = np.round(v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30), 5)
+            for i, best, score in zip(some, cosines.argmax(axis=1), np.clip(cosines.max(axis=1), 0, 1).tolist(), strict=True):
+                found[i], scores[i] = langs[best], score
+        return [pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array([len(ids) for ids, _ in counted], pa.int64())]
+
+    return predict
+
+
+_RESULT = {"lang_pred": "string", "score": "double", "n_trigrams": "long"}
+_tables: dict[tuple[int, int], Vectors] = {}
+
+
+def worker_vectors(dimensions: int, seed: int) -> Vectors:
+    """A worker's table; workers are reused across tasks, and so is what it holds."""
+    if (dimensions, seed) not in _tables:
+        _tables.clear()
+        _tables[dimensions, seed] = Vectors(dimensions, seed)
+    return _tables[dimensions, seed]
+
+
+def identify(docs: DataFrame, training: DataFrame, *, lang_col: str = "lang", text_col: str = "text", dimensions: int = 1024, seed: int = 7) -> DataFrame:
+    """docs with lang_pred, score (the cosine, 0 if negative) and n_trigrams (distinct), learned from the rows of training."""
+    return common.extend(docs, [text_col], _RESULT, predictor(training, lang_col, text_col, dimensions, seed), 128)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, dimensions: int = 1024, seed: int = 7) -> DataFrame:
     """Documents with a language: those without a letter, or unlike every language, go.
 
-    Learned from the rows with a language, of whatever fold. least is far below what prose of a few words reaches.
+    Learned from the rows with a language, of whatever fold. The cosine of a text that shares no trigram with a language
+    spreads by 1 / sqrt(dimensions), so one below three times that is unlike it, if the text has TELLING trigrams or
+    more; a shorter text stays if it has a letter, as a few trigrams tell too little.
     """
-    columns = docs.columns
-    numbered = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(columns)})  # whatever they are called
-    found = identify(numbered, numbered, lang_col=f"_{columns.index('lang')}", text_col=f"_{columns.index('text')}")
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
+    predict = predictor(docs, docs.columns[common.named(docs.columns, "lang")], docs.columns[common.named(docs.columns, "text")], dimensions, seed)
+    like = (F.col("lang_pred") != UNDETERMINED) & ((F.col("score") >= 3 / dimensions**0.5) | (F.col("n_trigrams") < TELLING))
+    return common.filtered(docs, ["text"], _RESULT, predict, like, 128)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
