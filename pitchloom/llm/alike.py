@@ -1,14 +1,19 @@
 """Documents whose sets of five-word shingles have a Jaccard likeness of 0.8 or more: an exact join, and its components.
 
-A node is a distinct set of shingles (XXH64 as in simhash), so exact copies are one. Two sets of likeness 4/5 or more
-share at least 4/5 of either; in any common order of shingles they hence share one of the first s - ceil(4 s / 5) + 1
-of the s of each. Those are a node's keys. The order puts shingles first that a sample holds seldom, so that common
-passages are no keys of most texts; the sample decides the work alone, never the result.
-
-Buckets of a key: in small ones all pairs of fitting sizes are candidates. In large ones (a group of near copies) each
-node is first held against the bucket's least; then only nodes whose components are still apart are paired. A pair
-stays if the numbers of its shingles in 64 classes differ by no more than alike sets can, and what stays is checked
-exactly, by whole sets.
+A node is a distinct set of shingles (XXH64 as in simhash), so exact copies are one. Links are found in three rounds,
+each checked exactly, by whole sets, and each only between nodes that the rounds before have not joined:
+
+1. SimHash fingerprints of the same shingles, linked by pigeonring filtering (simhash.links). They join what is nearly
+   the same, at ten small keys for each fingerprint; texts at 0.8 differ in some ten bits, beyond what a ring bridges.
+2. Prefixes. Two sets of likeness 4/5 or more share at least 4/5 of either; in any common order of shingles they hence
+   share one of the first s - ceil(4 s / 5) + 1 of the s of each. Those are a node's keys. The order puts shingles first
+   that a sample holds seldom, so that common passages are no keys of most texts; the sample decides the work alone,
+   never the result. In small buckets of a key all pairs whose sizes and places allow 0.8 are candidates; in large ones
+   (a group of near copies) each node is held against the bucket's least.
+3. Large buckets again: pairs of nodes whose components are still apart.
+
+Candidates stay if the numbers of their shingles in 64 classes differ by no more than alike sets can. Of texts, only
+those of candidates are moved, once each.
 """
 
 from __future__ import annotations
@@ -16,15 +21,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import common
-from .simhash import components, shingle_hashes
+from .simhash import components, links, majority, shingle_hashes
 
 CLASSES = 64
+#: Bits of a key's place below the size in sp; a later place than they hold counts as the last, which allows more.
+PLACE = 24
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -41,7 +49,7 @@ def sketch(held: np.ndarray) -> np.ndarray:
 
 
 def prefix(held: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Keys of a set; ``known`` are common shingles (sorted), ``rank`` their places, which follow all others."""
+    """Keys of a set in their order; ``known`` are common shingles (sorted), ``rank`` their places, which follow all others."""
     n = len(held) - -(-4 * len(held) // 5) + 1 if len(held) else 0
     place = np.zeros(len(held), np.int64)
     if len(known):
@@ -68,18 +76,51 @@ def common_shingles(docs: DataFrame, text_col: str, share: float = 0.05, least:
     return known[order], np.arange(1, len(known) + 1)[order]
 
 
-def marks(docs: DataFrame, known: np.ndarray, rank: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, size, tie, sketch, keys) for each row; tie is the text's own hash."""
+def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tie, node, size, fp, sketch) for each row; tie is the text's own hash, fp its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_slices(batches):
-            held = [shingle_set(t) for t in batch.column("t").to_pylist()]
-            keys = pa.array([prefix(h, known, rank).view(np.int64) for h in held], pa.list_(pa.int64()))
-            columns = [batch.column("doc_id"), pa.array([node_of(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int32()), batch.column("tie"), pa.array([sketch(h).tobytes() for h in held], pa.binary()), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "tie", "sketch", "keys"])
+            hashes = [shingle_hashes(t, 5) for t in batch.column("t").to_pylist()]
+            held = [np.unique(np.array(h, np.uint64)) for h in hashes]
+            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), batch.column("tie"), pa.array([node_of(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int32()), pa.array(fp), pa.array([sketch(h).tobytes() for h in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "node", "size", "fp", "sketch"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_column(text_col).alias("t")).withColumn("tie", F.xxhash64("t"))
-    return common.map_batches(given, run, "doc_id long, node long, size int, tie long, sketch binary, keys array<long>")
+    return common.map_batches(given, run, "doc_id long, tie long, node long, size int, fp long, sketch binary")
+
+
+def once(ties: list[int], seen: set[int], most: int = 1_000_000) -> list[int]:
+    """Places of the ties that a task has not met; what it has met is forgotten at a size, which costs work alone."""
+    if len(seen) > most:
+        seen.clear()
+    out = []
+    for i, tie in enumerate(ties):
+        if tie not in seen:
+            seen.add(tie)
+            out.append(i)
+    return out
+
+
+def keyed(docs: DataFrame, known: np.ndarray, rank: np.ndarray, text_col: str, parts: int) -> DataFrame:
+    """(key, node, sp), dealt and sorted by key; sp holds the set's size and the key's place. A task sends a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in common.in_slices(batches):
+            fresh = once(batch.column("tie").to_pylist(), seen)
+            held = [shingle_set(t) for t in batch.column("t").take(pa.array(fresh, pa.int64())).to_pylist()]
+            keys = [prefix(h, known, rank) for h in held]
+            n = [len(k) for k in keys]
+            size = np.repeat(np.array([len(h) for h in held], np.int64), n)
+            place = np.concatenate([*(np.arange(k) for k in n), np.zeros(0, np.int64)])
+            node = np.repeat(np.array([node_of(h) for h in held], np.int64), n)
+            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(size << PLACE | np.minimum(place, (1 << PLACE) - 1))], ["key", "node", "sp"])
+
+    given = docs.select(common.text_column(text_col).alias("t")).withColumn("tie", F.xxhash64("t"))
+    return common.map_batches(given, run, "key long, node long, sp long").repartition(parts, "key").sortWithinPartitions("key", "node")
 
 
 def in_buckets(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.Table]:
@@ -104,66 +145,82 @@ def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(x, y) >= 4 * np.maximum(x, y)
+def may_be_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and places (sp) allow 0.8, if this key is the first that two sets share.
+
+    They share it and at most what follows it in either, and must share 4/9 of both sizes together.
+    """
+    low = (1 << PLACE) - 1
+    n, m = x >> PLACE, y >> PLACE
+    left = np.minimum(n - (x & low), m - (y & low))
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * left >= 4 * (n + m))
 
 
 def drawn(sketches: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
 
 
-def first_pairs(keyed: DataFrame, large: int) -> DataFrame:
-    """(a, b): all pairs of fitting sizes in small buckets; in large ones each node with the bucket's least."""
+def bucket_pairs(rows: DataFrame, large: int) -> DataFrame:
+    """(kind, a, b, sp) from keyed(). Kind 0: a candidate pair. Kind 1: a large bucket's key, a member and its sp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_buckets(batches):
-            key, node, size = (t.column(c).to_numpy() for c in ("key", "node", "size"))
+            key, node, sp = (t.column(c).to_numpy() for c in ("key", "node", "sp"))
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # tasks may have sent the same text
+            key, node, sp = key[new], node[new], sp[new]
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             n = np.diff(np.r_[starts, len(key)])
             first, big, found = np.repeat(starts, n), np.repeat(n > large, n), []
             at = np.flatnonzero(big & (first != np.arange(len(key))))
-            at = at[sizes_fit(size[at], size[first[at]])]
+            at = at[may_be_alike(sp[at], sp[first[at]])]
             found.append((node[first[at]], node[at]))
+            members = key[big], node[big], sp[big]
             keep = ~big
-            key, node, size = key[keep], node[keep], size[keep]
+            key, node, sp = key[keep], node[keep], sp[keep]
             for d in range(1, large):
                 at = np.flatnonzero(key[d:] == key[:-d])
                 if not len(at):
                     break
-                at = at[sizes_fit(size[at], size[at + d])]
+                at = at[may_be_alike(sp[at], sp[at + d])]
                 found.append((node[at], node[at + d]))
-            yield pair_batch(found)
+            pairs = pair_batch(found)
+            none = pa.array(np.zeros(pairs.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(pairs.num_rows, np.int32)), pairs.column("a"), pairs.column("b"), none], ["kind", "a", "b", "sp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(members[0]), np.int32)), *map(pa.array, members)], ["kind", "a", "b", "sp"])
 
-    return common.map_batches(keyed, run, "a long, b long").distinct()
+    return common.map_batches(rows, run, "kind int, a long, b long, sp long")
 
 
-def later_pairs(keyed: DataFrame, block: int = 1024) -> DataFrame:
-    """(a, b) of one key, fitting sizes and sketches, whose components (column root) are apart."""
+def later_pairs(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """(a, b) of one key, fitting sizes, places and sketches, whose components (column root) are apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_buckets(batches):
-            key, node, size, root = (t.column(c).to_numpy() for c in ("key", "node", "size", "root"))
-            marks = drawn(t.column("sketch"))
+            key, node, sp, root = (t.column(c).to_numpy() for c in ("key", "node", "sp", "root"))
+            marks_ = drawn(t.column("sketch"))
+            size = sp >> PLACE
             bounds = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 if (root[lo:hi] == root[lo]).all():
                     continue
                 # by size: alike sets are near each other
                 order = lo + np.argsort(size[lo:hi], kind="stable")
-                found = []
+                ends = np.searchsorted(size[order], 5 * size[order] // 4, side="right")
+                found, held = [], 0
                 for i, x in enumerate(order):
-                    end = int(np.searchsorted(size[order], 5 * int(size[x]) // 4, side="right"))
-                    for j in range(i + 1, end, block):
-                        y = order[j : min(end, j + block)]
+                    for j in range(i + 1, int(ends[i]), block):
+                        y = order[j : min(int(ends[i]), j + block)]
                         y = y[root[y] != root[x]]
-                        y = y[9 * np.abs(marks[y] - marks[x]).sum(axis=1) <= size[y] + size[x]]
+                        y = y[may_be_alike(np.full(len(y), sp[x]), sp[y])]
+                        y = y[9 * np.abs(marks_[y] - marks_[x]).sum(axis=1) <= size[y] + size[x]]
                         found.append((np.full(len(y), node[x]), node[y]))
-                    if sum(len(f[0]) for f in found[-8:]) and len(found) > 512:
+                        held += len(y)
+                    if held > 100_000:
                         yield pair_batch(found)
-                        found = []
+                        found, held = [], 0
                 yield pair_batch(found)
 
-    return common.map_batches(keyed, run, "a long, b long").distinct()
+    return common.map_batches(rows, run, "a long, b long").distinct()
 
 
 def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -179,14 +236,38 @@ def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return common.map_batches(both, run, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (durable) of likeness 0.8 or more, by their whole sets; only the texts of the pairs' nodes are moved."""
+def whole_sets(ends: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, most: int = 1_000_000) -> DataFrame:
+    """(node, held): the shingle sets of some nodes (column node), durable.
+
+    Up to ``most`` texts (8 bytes each) are told to all tasks, so that no other text is moved; more are joined.
+    """
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in common.in_slices(batches):
-            held = [shingle_set(t) for t in batch.column("t").to_pylist()]
+            fresh = once(batch.column("tie").to_pylist(), seen)
+            held = [shingle_set(t) for t in batch.column("t").take(pa.array(fresh, pa.int64())).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["node", "held"])
 
+    ties = common.durable(nodes.join(ends, "node", "left_semi").select("tie"), "ties")
+    texts = docs.select(common.text_column(text_col).alias("t")).withColumn("tie", F.xxhash64("t"))
+    if ties.count() <= most:
+        listed = np.sort(np.array([r.tie for r in ties.collect()], np.int64))
+
+        @F.pandas_udf("boolean")
+        def wanted(x: pd.Series) -> pd.Series:
+            at = np.searchsorted(listed, x.to_numpy())
+            return pd.Series(listed[np.minimum(at, len(listed) - 1)] == x.to_numpy() if len(listed) else np.zeros(len(x), bool))
+
+        texts = texts.where(wanted("tie"))
+    else:
+        texts = texts.join(ties, "tie", "left_semi")
+    return common.durable(common.map_batches(texts.select("tie", "t"), to_sets, "node long, held binary").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (durable) of likeness 0.8 or more, by their whole sets."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_slices(batches):
             x, y = ([np.frombuffer(b, np.uint64) for b in batch.column(c).to_pylist()] for c in ("x", "y"))
@@ -194,37 +275,54 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # written, so that Spark knows its size and sends a small one to the texts rather than all texts to it
-    ties = common.durable(nodes.join(ends, "node", "left_semi").select("tie"), "ties")
-    texts = docs.select(common.text_column(text_col).alias("t")).withColumn("tie", F.xxhash64("t")).join(ties, "tie", "left_semi")
-    sets = common.durable(common.map_batches(texts.dropDuplicates(["tie"]).select("t"), to_sets, "node long, held binary"), "sets")
+    sets = whole_sets(ends, nodes, docs, text_col)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    return common.durable(common.map_batches(both.select("a", "b", "x", "y"), check, "a long, b long"), "alike")
+    out = common.durable(common.map_batches(both.select("a", "b", "x", "y"), check, "a long, b long"), "alike")
+    common.discard(sets)
+    return out
+
+
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """Distinct pairs whose nodes have different roots; a node without one is its own."""
+    known = [root.select(F.col("node").alias(x), F.col("root").alias(r)) for x, r in (("a", "ra"), ("b", "rb"))]
+    both = pairs.distinct().join(known[0], "a", "left").join(known[1], "b", "left")
+    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def simhash_pairs(nodes: DataFrame, parts: int, most: int = 4) -> DataFrame:
+    """(a, b): nodes of one fingerprint with the least of them, and the least of linked fingerprints."""
+    leads = common.durable(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    linked_ = links(leads.select("fp"), most, parts)
+    same = nodes.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    ends = [leads.select(F.col("fp").alias(x), F.col("lead").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
+    across = linked_.join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    return same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def groups(docs: DataFrame, large: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row of docs: the least id that it reaches by links of likeness 0.8 or more."""
+def groups(docs: DataFrame, large: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, group) for every row of docs: tie is the text's hash, group a number that linked texts share."""
     parts = common.shuffle_parts(docs.sparkSession)
-    known, rank = common_shingles(docs, text_col)
-    marked = common.durable(marks(docs, known, rank, id_col, text_col), "marks")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.min("tie").alias("tie"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    nodes = common.durable(nodes, "alike-nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "size").repartition(parts, "key").sortWithinPartitions("key", "node")
-    pairs = common.durable(fitting(common.durable(first_pairs(keyed, large), "first-pairs"), nodes), "fitting-pairs")
-    edges = verified(pairs, nodes, docs, text_col)
-    root = components(edges)
-    # large buckets, by a count that combines before its shuffle
-    heavy = nodes.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > large).select("key")
-    rest = common.durable(nodes.select(F.explode("keys").alias("key"), "node", "size").join(heavy, "key", "left_semi"), "large")
+    docs = docs.select(id_col, text_col)
+    marked = common.durable(marks(docs, id_col, text_col), "marks")
+    nodes = common.durable(marked.groupBy("node").agg(F.first("size").alias("size"), F.min("tie").alias("tie"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "alike-nodes")
+
+    near = common.durable(fitting(simhash_pairs(nodes, parts), nodes), "simhash-pairs")
+    edges = verified(near, nodes, docs, text_col)
+    root = common.durable(components(edges), "simhash-roots")
+
+    buckets = common.durable(bucket_pairs(keyed(docs, *common_shingles(docs, text_col), text_col, parts), large), "buckets")
+    pairs = common.durable(fitting(apart(buckets.where("kind = 0").select("a", "b"), root), nodes), "prefix-pairs")
+    edges = common.durable(edges.union(verified(pairs, nodes, docs, text_col)), "prefix-links")
+    root = common.durable(components(edges), "prefix-roots")
+
+    members = buckets.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "sp")
+    members = common.durable(members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    several = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = common.durable(members.join(several, "key", "left_semi").join(nodes.select("node", "sketch"), "node"), "large")
+    common.discard(buckets, members)
     if not rest.isEmpty():
-        known_root = common.durable(root, "first-roots")
-        apart = rest.join(known_root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        apart = apart.join(several, "key", "left_semi")
-        dealt = apart.join(nodes.select("node", "sketch"), "node").select("key", "node", "size", "root", "sketch").repartition(parts, "key").sortWithinPartitions("key", "node")
+        dealt = rest.select("key", "node", "sp", "root", "sketch").repartition(parts, "key").sortWithinPartitions("key", "node")
         more = common.durable(later_pairs(dealt), "later-pairs")
-        edges = common.durable(edges.union(verified(more, nodes, docs, text_col)).distinct(), "alike-links")
+        edges = common.durable(edges.union(verified(more, nodes, docs, text_col)), "alike-links")
         root = components(edges)
-    grouped = nodes.join(root, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(grouped.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "tie", "node").join(root, "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("group"))

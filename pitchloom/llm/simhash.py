@@ -7,12 +7,13 @@ Links: two fingerprints differ in at most ``most`` bits. Cut them into most + 1
 differs in at most ``most`` bits, there is a start from which every chain of consecutive segments differs in at most
 its share, length x most / (most + 1): none in the first segment, at most one in the first two, two in the first
 three, and so on. So a pair is found under a start if it agrees on the first segment, and, as the second then holds
-at most one difference, on one half of the second. Those two values are a bucket's key. Pairs of a bucket must then
-pass the chain of every length, and last the full Hamming check.
+at most one difference, on one half of the second. Those two values are a bucket's key; where there are so many
+fingerprints that such buckets would fill by chance, the key takes in further segments (Scheme). Pairs of a bucket must
+then pass the chain of every length, and last the full Hamming check.
 
 Within a bucket no list of pairs leaves the task: a bucket gives a spanning forest of its links. Large buckets
 (a group of near copies, all of distinct fingerprints) are joined to pivots first, so a group that lies round one
-fingerprint costs one pass; only groups that are still apart are compared in blocks, until one link joins them.
+fingerprint costs one pass; what is still apart is split by further pieces until parts are small.
 
 Components: distinct fingerprints only (copies share one, so a group of exact copies is one node), joined by
 alternating large-star and small-star rounds, each a join and an aggregate, each written to the shared folder. The
@@ -26,7 +27,9 @@ ignored, or kept by the stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -76,39 +79,80 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---------------------------------------------------------------- candidates
 
 
-def ring(most: int) -> list[tuple[int, int]]:
-    """(first bit, number of bits) of most + 1 segments."""
-    cuts = [round(64 * i / (most + 1)) for i in range(most + 2)]
+def ring(most: int, pieces: int = 1) -> list[tuple[int, int]]:
+    """(first bit, number of bits) of (most + 1) segments of so many pieces each."""
+    n = (most + 1) * pieces
+    cuts = [round(64 * i / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-#: A key's label, which start and which half, stands above this bit.
-LABEL = 58
+def mask_of(parts: Sequence[tuple[int, int]]) -> int:
+    return sum(((1 << n) - 1) << at for at, n in parts)
 
 
-def bucket_keys(fp: np.ndarray, most: int) -> np.ndarray:
-    """Keys (n x 2 (most + 1)): a start, the segment there, and either half of the next. For most = 0, the whole."""
+@dataclass(frozen=True)
+class Scheme:
+    """What a bucket's key holds: the pieces of the first ``depth`` segments that a pair may not differ in.
+
+    The chain of k segments from a fitting start differs in at most k most / (most + 1) bits, which is k - 1 for k up to
+    most + 1. So of the first depth segments at most depth - 1 pieces differ, none in the first segment, at most one in
+    the first two, and so on. For each choice of pieces that may differ so, the others are a key.
+    """
+
+    most: int
+    pieces: int
+    depth: int
+
+    def choices(self) -> list[list[int]]:
+        """Pieces (from the start) of each key."""
+        places = range(self.pieces, self.depth * self.pieces)
+        out = []
+        for bad in itertools.combinations(places, self.depth - 1):
+            if all(sum(x < k * self.pieces for x in bad) <= k - 1 for k in range(1, self.depth)):
+                out.append([x for x in range(self.depth * self.pieces) if x not in bad])
+        return out
+
+    def keys(self) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(start, bits) of each key, in the order of their labels."""
+        if self.most == 0:
+            return [(0, [(0, 64)])]
+        parts = ring(self.most, self.pieces)
+        return [(start, [parts[(start * self.pieces + x) % len(parts)] for x in chosen]) for start in range(self.most + 1) for chosen in self.choices()]
+
+    @property
+    def bits(self) -> int:
+        return min(sum(n for _, n in parts) for _, parts in self.keys())
+
+
+def scheme_for(nodes: int, most: int, crowd: int = 64) -> Scheme:
+    """The least keys whose buckets of unlike fingerprints hold about ``crowd`` at most; the result is the same by any."""
     if most == 0:
-        return fp[:, None]
-    segments, out = ring(most), []
-    part = lambda at, n: (fp >> np.uint64(at)) & np.uint64((1 << n) - 1)
-    for i, (at, n) in enumerate(segments):
-        after, size = segments[(i + 1) % len(segments)]
-        half = size // 2
-        for j, (a, b) in enumerate(((after, half), (after + half, size - half))):
-            out.append(np.uint64((2 * i + j) << LABEL) | (part(at, n) << np.uint64(b)) | part(a, b))
-    return np.stack(out, axis=1)
+        return Scheme(0, 1, 1)
+    options = [Scheme(most, pieces, depth) for pieces, depth in ((2, 2), (2, 3), (3, 3), (3, 4)) if depth <= most + 1]
+    return next((x for x in options if nodes >> x.bits <= crowd), options[-1])
+
+
+#: A key's label, its place in the scheme, stands above this bit; the values of the pieces are hashed below it.
+LABEL = 52
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bucket_keys(fp: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Keys (n x number of keys): the label, and a hash of the fingerprint's bits in the key's pieces."""
+    low = np.uint64((1 << LABEL) - 1)
+    return np.stack([np.uint64(i << LABEL) | (mixed(fp & np.uint64(mask_of(parts))) & low) for i, (_, parts) in enumerate(scheme.keys())], axis=1)
 
 
 def chain_masks(start: int, most: int) -> list[np.uint64]:
     """Masks of the chains of 2, 3, ... segments from a start; the chain of length k may differ in k most / (most + 1)."""
-    segments, mask, out = ring(most), 0, []
-    for k in range(most + 1):
-        at, n = segments[(start + k) % (most + 1)]
-        mask |= ((1 << n) - 1) << at
-        if k:
-            out.append(np.uint64(mask))
-    return out
+    segments = ring(most)
+    return [np.uint64(mask_of([segments[(start + i) % (most + 1)] for i in range(k)])) for k in range(2, most + 2)]
 
 
 def linked(x: np.ndarray, masks: list[np.uint64], most: int) -> np.ndarray:
@@ -137,55 +181,86 @@ class Forest:
             self.parent[max(i, j)] = min(i, j)
         return i != j
 
+    def labels(self, at: np.ndarray) -> np.ndarray:
+        """Roots of many positions at once."""
+        root = self.parent[at]
+        while (self.parent[root] != root).any():
+            root = self.parent[root]
+        self.parent[at] = root
+        return root
+
 
-def bucket_forest(fp: np.ndarray, start: int, most: int, block: int = 2048) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the links in one large bucket.
+def bucket_forest(fp: np.ndarray, start: int, most: int, block: int = 512, pivots: int = 8) -> list[tuple[int, int]]:
+    """Edges (positions) of a spanning forest of the links in one large bucket of distinct fingerprints.
 
-    Pivots take what lies within ``most`` of them; then two groups that are apart are compared in blocks, up to the
-    first link, and only if their pivots are within 3 most of each other.
+    A few pivots take what lies within ``most`` of them, which joins most of a group of near copies in a pass each. What
+    may still be apart is split by the values of further pieces, one of which two linked fingerprints must share, again
+    and again until a part is small; a part whose members are joined already is left, and in the others only members
+    of different groups are compared.
     """
-    masks, edges = chain_masks(start, most), []
-    group, pivots, rest = np.full(len(fp), -1), [], np.arange(len(fp))
-    while len(rest):
-        pivot = rest[0]
-        x = fp[rest] ^ fp[pivot]
-        near = rest[linked(x, masks, most)]  # the pivot too
-        group[near] = len(pivots)
-        edges += [(int(pivot), int(i)) for i in near if i != pivot]
-        pivots.append(pivot)
-        rest = rest[group[rest] < 0]
-    centre = fp[np.array(pivots, np.int64)]
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group))
-    members = np.split(order, ends[:-1])
-    joined = Forest(len(pivots))
-    for g in range(len(pivots)):
-        for h in (g + 1 + np.flatnonzero(np.bitwise_count(centre[g + 1 :] ^ centre[g]) <= 3 * most)).tolist():
-            if joined.find(g) == joined.find(h):
-                continue
-            small, large = sorted((members[g], members[h]), key=len)
-            for i in small:
-                hit = next((at + k for at in range(0, len(large), block) for k in linked(fp[large[at : at + block]] ^ fp[i], masks, most)[:1]), None)
-                if hit is not None:
-                    joined.join(g, h)
-                    edges.append((int(i), int(large[hit])))
-                    break
+    masks, edges, joined = chain_masks(start, most), [], Forest(len(fp))
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        """Links between groups: one for each two groups."""
+        a, b = joined.labels(i), joined.labels(j)
+        apart = np.flatnonzero(a != b)
+        _, first = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]]), axis=1, return_index=True)
+        for k in apart[first].tolist():
+            if joined.join(int(i[k]), int(j[k])):
+                edges.append((int(i[k]), int(j[k])))
+
+    def compare(at: np.ndarray) -> None:
+        group = joined.labels(at)
+        values, back, sizes = np.unique(group, return_inverse=True, return_counts=True)
+        if len(values) < 2:
+            return
+        others = at[back != np.argmax(sizes)]  # all but the largest group, against all
+        for k in range(0, len(others), block):
+            own = others[k : k + block]
+            hit = linked((fp[own][:, None] ^ fp[at][None, :]).ravel(), masks, most)
+            add(own[hit // len(at)], at[hit % len(at)])
+
+    def split(at: np.ndarray, free: np.ndarray) -> None:
+        """free: bits in which members may differ."""
+        group = joined.labels(at)
+        if (group == group[0]).all():
+            return
+        rest = len(at) - int(np.bincount(np.unique(group, return_inverse=True)[1]).max())
+        if rest <= block or len(free) <= most + 1:
+            compare(at)
+            return
+        for part in np.array_split(free, most + 1):
+            value = mixed(fp[at] & np.uint64(sum(1 << int(b) for b in part)))
+            order = np.argsort(value, kind="stable")
+            ends = np.flatnonzero(np.r_[value[order][1:] != value[order][:-1], True]) + 1
+            fewer = np.setdiff1d(free, part)
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    split(at[order[a:b]], fewer)
+
+    rest = np.arange(len(fp))
+    for _ in range(pivots):
+        if not len(rest):
+            break
+        near = linked(fp[rest] ^ fp[rest[0]], masks, most)  # the pivot too
+        add(np.full(len(near), rest[0]), rest[near])
+        rest = np.delete(rest, near)
+    same = np.bitwise_or.reduce(fp ^ fp[0]) if len(fp) else np.uint64(0)
+    split(np.arange(len(fp)), np.array([b for b in range(64) if int(same) >> b & 1]))
     return edges
 
 
-def links(nodes: DataFrame, most: int, parts: int, large: int = 64) -> DataFrame:
+def links(nodes: DataFrame, most: int, parts: int, large: int = 64, scheme: Scheme | None = None) -> DataFrame:
     """(a, b), a < b: edges with the same components as all links among distinct fingerprints (column fp)."""
+    scheme = scheme or scheme_for(nodes.count(), most)
+    starts = np.array([start for start, _ in scheme.keys()], np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy()
-            keys = bucket_keys(fp.view(np.uint64), most)
+            keys = bucket_keys(fp.view(np.uint64), scheme)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]))], ["key", "fp"])
 
-    def start_of(key: np.ndarray) -> np.ndarray:
-        """The start that a key names."""
-        return (key >> np.uint64(LABEL)).astype(np.int64) // 2 if most else np.zeros(len(key), np.int64)
-
     def small_pairs(key: np.ndarray, fp: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Links in many small buckets at once: rows at distance 1, 2, ... of the same key."""
         found = []
@@ -202,10 +277,10 @@ def links(nodes: DataFrame, most: int, parts: int, large: int = 64) -> DataFrame
         return found
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_key, left_fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        left_key, left_fp = [], []
 
         def solve(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            start = start_of(key)
+            start = starts[(key >> np.uint64(LABEL)).astype(np.int64)]
             bounds = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
             sizes, big, found = np.diff(bounds), np.zeros(len(key), bool), []
             for b in np.flatnonzero(sizes > large):
@@ -221,22 +296,28 @@ def links(nodes: DataFrame, most: int, parts: int, large: int = 64) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            left_key = np.r_[left_key, batch.column("key").to_numpy().view(np.uint64)]
-            left_fp = np.r_[left_fp, batch.column("fp").to_numpy().view(np.uint64)]
-            cut = int(np.argmax(left_key == left_key[-1])) if len(left_key) else 0  # the last bucket may go on
-            if cut >= 4096:
-                yield solve(left_key[:cut], left_fp[:cut])
-                left_key, left_fp = left_key[cut:], left_fp[cut:]
-        yield solve(left_key, left_fp)
-
-    keyed = common.map_batches(nodes, spread, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
+            if not batch.num_rows:
+                continue
+            left_key.append(batch.column("key").to_numpy().view(np.uint64))
+            left_fp.append(batch.column("fp").to_numpy().view(np.uint64))
+            if sum(map(len, left_key)) < 4096 or left_key[-1][-1] == left_key[0][0]:
+                continue  # one bucket goes on
+            key, fp = np.concatenate(left_key), np.concatenate(left_fp)
+            cut = int(np.argmax(key == key[-1]))  # the last bucket may go on
+            yield solve(key[:cut], fp[:cut])
+            left_key, left_fp = [key[cut:]], [fp[cut:]]
+        yield solve(np.concatenate([*left_key, np.zeros(0, np.uint64)]), np.concatenate([*left_fp, np.zeros(0, np.uint64)]))
+
+    if most == 0:  # distinct fingerprints never agree
+        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    keyed = common.map_batches(nodes.select("fp"), spread, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
     return common.map_batches(keyed, join, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a < b): root is the least node that it reaches.
 
     A large star hangs each node's greater neighbours on its least neighbour, a small star its lesser ones; both keep
@@ -257,15 +338,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             out = out.union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
         return out.where("a < b").distinct()
 
-    e = edges
-    for _ in range(rounds):
+    e, before = edges, None
+    while True:  # each round joins every node to the least it sees, so rounds are about the logarithm of a component
         e = common.durable(star(star(e, True), False), "star")
+        if before is not None:
+            common.discard(before)
+        before = e
         # done when every lesser end is a root (no node is both below another and above a third) and no node hangs on two
         below = e.groupBy("b").agg(F.min("a").alias("root"), F.count("*").alias("n")).select(F.col("b").alias("node"), "root", "n")
         inner = e.select(F.col("a").alias("node")).join(below, "node", "left_semi")
         if below.where("n > 1").isEmpty() and inner.isEmpty():
             return below.drop("n").union(e.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
-    raise RuntimeError("the components did not settle")
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -283,23 +366,30 @@ def near_duplicates(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the least id; of rows that repeat it, one.
+    """One document of each group of near-duplicates: that of the least id, and of its texts the least.
 
-    Texts are near if the Jaccard likeness of their sets of five-word shingles is 0.8 or more, exactly (see alike):
-    such texts differ in about ten bits of their fingerprints, too many for a ring of segments. Rows without an id stay, once for each text, since no id can name them.
+    Texts are near if the Jaccard likeness of their sets of five-word shingles is 0.8 or more, exactly: links of SimHash
+    fingerprints are candidates that are checked by whole sets, and the pairs whose fingerprints are further apart than
+    a ring of segments can bridge are found beside them (see alike). Rows without an id stay if no row of their group has
+    one, once for the group. Columns of any name are kept.
     """
     from .alike import groups
 
-    found = common.durable(groups(docs), "near")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    repeated = kept.where("count > 1")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    nameless = docs.where("doc_id is null")
-    if not repeated.isEmpty():
-        out = out.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(out.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not nameless.isEmpty():
-        out = out.unionByName(nameless.dropDuplicates(["text"]))
-    return out.select(*docs.columns)
+    names = docs.columns
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    own_id, own_text = (f"_{common.named(names, c)}" for c in ("doc_id", "text"))
+    given = numbered.withColumn("__tie", F.xxhash64(common.text_column(own_text)))
+    found = common.durable(groups(given, id_col=own_id, text_col=own_text), "near")  # (doc_id, tie, group)
+    # of each group the least (id, text hash); ids are compared before hashes, null ids come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    kept = found.groupBy("group").agg(first.alias("k")).select("k.doc_id", "k.tie")
+    rows = given.join(kept, given[own_id].cast("long").eqNullSafe(kept["doc_id"]) & (given["__tie"] == kept["tie"]), "left_semi")
+    # rows that repeat an id and a text are one; few rows do, so the others are not shuffled
+    again = common.durable(found.groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie"), "repeated")
+    if not again.isEmpty():
+        match = given[own_id].cast("long").eqNullSafe(again["doc_id"]) & (given["__tie"] == again["tie"])
+        rows = rows.join(again, match, "left_anti").union(rows.join(again, match, "left_semi").dropDuplicates([own_id, "__tie"]))
+    return rows.drop("__tie").toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

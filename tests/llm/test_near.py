@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,10 +82,47 @@ def test_every_link_passes_some_chain(x, bits):
     y = x
     for b in bits:
         y ^= 1 << b
-    a, b = (simhash.bucket_keys(np.array([v], np.uint64), 4)[0] for v in (x, y))
-    shared = [i // 2 for i in range(10) if a[i] == b[i]]
     d = np.array([x ^ y], np.uint64)
-    assert any(len(simhash.linked(d, simhash.chain_masks(i, 4), 4)) for i in shared)
+    for pieces, depth in ((2, 2), (2, 3), (3, 3), (3, 4)):
+        scheme = simhash.Scheme(4, pieces, depth)
+        a, b = (simhash.bucket_keys(np.array([v], np.uint64), scheme)[0] for v in (x, y))
+        shared = [start for i, (start, _) in enumerate(scheme.keys()) if a[i] == b[i]]
+        assert any(len(simhash.linked(d, simhash.chain_masks(i, 4), 4)) for i in shared)
+
+
+def test_schemes_grow_with_the_fingerprints():
+    found = [simhash.scheme_for(n, 4) for n in (10, 10**6, 10**8, 10**10, 10**13)]
+    bits = [x.bits for x in found]
+    assert bits == sorted(bits) and bits[0] >= 18 and bits[-1] > 28
+    assert len(found[0].keys()) == 10 and all(len(x.keys()) < 1 << 12 for x in found)
+
+
+@pytest.mark.parametrize("pieces, depth", [(2, 3), (3, 3)])
+def test_wider_keys_find_the_same_components(spark, pieces, depth):
+    fps = near_family(np.random.default_rng(9), 300, 7)
+    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    found = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, 4, scheme=simhash.Scheme(4, pieces, depth))).collect()}
+    order = sorted(signed(x) for x in fps)
+    roots = brute_roots([x & (2**64 - 1) for x in order], 4)
+    assert [found.get(x, x) for x in order] == [order[i] for i in roots]
+
+
+def test_a_bucket_of_many_unlike_fingerprints_ends_soon():
+    """A hundred thousand that share a key, a few of them linked."""
+    rng = np.random.default_rng(3)
+    v = np.unique(rng.integers(0, 2**45, 100_000, np.uint64) << np.uint64(19))
+    near = v[:50] ^ np.uint64(1 << 40)
+    both = np.unique(np.r_[v, near])
+    began = time.perf_counter()
+    edges = simhash.bucket_forest(both, 0, 4)
+    assert time.perf_counter() - began < 30
+    found = {frozenset((int(both[a]), int(both[b]))) for a, b in edges}
+    forest = simhash.Forest(len(both))
+    for a, b in edges:
+        forest.join(a, b)
+        assert int(both[a] ^ both[b]).bit_count() <= 4
+    place = {int(x): i for i, x in enumerate(both)}
+    assert found and all(forest.find(place[int(x)]) == forest.find(place[int(x ^ np.uint64(1 << 40))]) for x in v[:50])
 
 
 def test_large_bucket_forest():
@@ -147,7 +185,9 @@ def test_near_duplicates(spark, odd_documents, no_documents, corpus):
 
 def test_stage_keeps_one_of_each(spark, odd_documents, no_documents):
     kept = simhash.stage(spark, odd_documents, "").collect()
-    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter([1, 2, 4, 6, 8])
+    # two different texts have the id 8: each is its own group, and neither is lost
+    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter([1, 2, 4, 6, 8, 8])
+    assert Counter(r.text for r in kept) == Counter(dict.fromkeys((r.text for r in kept), 1)) and len(kept) == 7
     assert kept[0].asDict().keys() == odd_documents.first().asDict().keys()
     assert simhash.stage(spark, no_documents, "").count() == 0
 
