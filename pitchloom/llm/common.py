@@ -59,7 +59,7 @@ def durable(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     """Write a table to the shared folder and read it back: lineage ends and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out
 
@@ -161,5 +161,11 @@ def range_bucket(key: str, splits: Sequence[int], tie: Column | None = None) ->
     return bucket(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), F.lit(-(2**63)) if tie is None else tie)
 
 
+def parts_for(df: DataFrame, size: int) -> int:
+    """Parts of about so many bytes, by the size that Spark's statistics have of a table."""
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, -(-held // size))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,22 +2,24 @@
 
 ``write_token_shards`` deals documents into shards by ranges of their id, encodes each shard's texts in ascending id
 order and streams the ids to ``shard-NNNNNN-<attempt>.ids`` (raw little-endian integers, nothing else). Beside it,
-``.idx`` holds a minimal perfect hash of the shard's keys: a displacement for each bucket, and for each slot a 32-bit
-fingerprint, the offset and the number of ids. A lookup hashes the key, reads one displacement and one slot, compares
-the fingerprint and reads one range of the payload: constant time, and no key is stored in the index. The keys are
-listed once, in order, for scans.
+``.idx`` holds a minimal perfect hash of the shard's keys: a header, a displacement for each bucket, and for each slot a
+64-bit fingerprint, the offset and the number of ids, all of fixed width. The manifest names each shard's range of ids.
+
+``lookup`` finds the shard by its range, reads the header, one displacement and one slot of its index, compares the
+fingerprint and reads one range of the payload: four small reads of two files, whatever their size, and no key is stored
+in the index. A key that is not there passes the fingerprint once in 2^64. For scans, ``.keys`` lists the ids in order.
 
 A task writes files of its own name and returns a manifest row; the manifest is what succeeded, so a lost or repeated
-task leaves at most files that nothing names. Memory is bounded by a slice of texts and the keys of one shard.
+task leaves at most files that nothing names. Memory is bounded by a slice of texts and the keys of one shard; the number
+of shards is a parameter, by size in the query.
 
 Cases: null and empty texts encode to the end id alone; null ids come first and are keyed by a fixed value; rows that
-repeat an id are keyed by their occurrence (ordered by text); an empty table gives an empty manifest; other columns,
-whatever their names, are ignored.
+repeat an id are keyed by their occurrence (ordered by text; where one id fills several shards, by shard, then text); an
+empty table gives an empty manifest; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
 import zlib
@@ -32,7 +34,11 @@ from . import common
 from .tokens import encoder
 
 _U = np.uint64
-_MANIFEST = "shard int, payload string, index string, width int, n_docs long, n_ids long"
+_MANIFEST = "shard int, payload string, index string, keys string, width int, first long, last long, n_docs long, n_ids long"
+#: Of the index: two numbers of the header, a displacement, and a slot (fingerprint, offset, length).
+_HEADER, _DISPLACEMENT, _SLOT = np.dtype("<u8"), np.dtype("<i4"), np.dtype([("fingerprint", "<u8"), ("offset", "<u8"), ("length", "<u8")])
+#: Ids that a scan reads at once.
+BLOCK = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,7 +99,8 @@ def find_slots(h: np.ndarray, displacements: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(h: np.ndarray) -> np.ndarray:
-    return (_mix(h ^ _U(0xA0761D6478BD642F)) >> _U(32)).astype(np.uint32)
+    """A second hash of a key, beside the one that places it."""
+    return _mix(h ^ _U(0xA0761D6478BD642F))
 
 
 class _Shard:
@@ -118,21 +125,22 @@ class _Shard:
         self.out.close()
         keys, counts = np.array(self.keys, np.int64), np.array(self.counts, np.int64)
         n = len(keys)
-        first = np.r_[True, keys[1:] != keys[:-1]]  # ascending, so equal keys are neighbours
-        occurrence = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        h = hashed_keys(keys, occurrence)
+        h = hashed_keys(keys, occurrences(keys))
         displacements = build_mph(h)
-        slots = find_slots(h, displacements, n)
-        index = {"displacements": displacements.astype(np.int32), "keys": keys, "occurrence": occurrence.astype(np.uint32)}
-        for name, values in (("fingerprint", fingerprints(h)), ("offset", np.cumsum(counts) - counts), ("length", counts)):
-            placed = np.zeros(n, values.dtype)
-            placed[slots] = values
-            index[name] = placed
-        held = io.BytesIO()
-        np.savez(held, **index)
-        with self.store.open_output_stream(f"{self.stem}.idx") as f:
-            f.write(held.getvalue())
-        return {"shard": [self.number], "payload": [f"{self.uri}.ids"], "index": [f"{self.uri}.idx"], "width": [self.width], "n_docs": [n], "n_ids": [int(counts.sum())]}
+        table = np.zeros(n, _SLOT)
+        placed = find_slots(h, displacements, n)
+        table["fingerprint"][placed], table["offset"][placed], table["length"][placed] = fingerprints(h), np.cumsum(counts) - counts, counts
+        for kind, held in ((".idx", np.array([n, len(displacements)], _HEADER).tobytes() + displacements.astype(_DISPLACEMENT).tobytes() + table.tobytes()), (".keys", keys.astype("<i8").tobytes())):
+            with self.store.open_output_stream(f"{self.stem}{kind}") as f:
+                f.write(held)
+        return {"shard": [self.number], "payload": [f"{self.uri}.ids"], "index": [f"{self.uri}.idx"], "keys": [f"{self.uri}.keys"], "width": [self.width], "first": [int(keys[0])], "last": [int(keys[-1])], "n_docs": [n], "n_ids": [int(counts.sum())]}
+
+
+def occurrences(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys come before each; keys ascend, so equal ones are neighbours."""
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    at = np.arange(len(keys))
+    return at - np.maximum.accumulate(np.where(first, at, 0)) if len(keys) else at
 
 
 def write_token_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +148,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int,
     spark = docs.sparkSession
     data = docs.select(F.col(id_col).cast("long").alias("k"), common.text_column(text_col).alias("t"))
     splits = common.range_splits(data, "k", shards)
-    dealt = data.withColumn("b", common.range_bucket("k", splits)).repartitionById(len(splits) + 1, F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_first(), "t")
+    dealt = data.withColumn("b", common.range_bucket("k", splits, F.xxhash64("t"))).repartitionById(len(splits) + 1, F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_first(), "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, width = None, encoder(tokenizer), 2 if max(end_id, encoder(tokenizer).tokenizer.get_vocab_size()) < 65536 else 4
@@ -161,24 +169,41 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int,
 
 
 def _manifest_schema() -> pa.Schema:
-    return pa.schema([("shard", pa.int32()), ("payload", pa.string()), ("index", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    kinds = {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _MANIFEST.split(", ")])
 
 
 class ShardReader:
-    """Keyed access to one shard's files."""
+    """Keyed access to one shard's files, by reads of fixed size."""
 
     def __init__(self, payload: str, index: str, width: int):
-        store, path = common.open_store(index)
-        with store.open_input_stream(path) as f:
-            self.index = dict(np.load(io.BytesIO(f.read())))
-        store, path = common.open_store(payload)
-        self.payload, self.width = store.open_input_file(path), width
-
-    def locate(self, keys: np.ndarray, occurrence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offsets, lengths and whether the fingerprint agrees, for any keys."""
-        h, n = hashed_keys(keys, occurrence), len(self.index["keys"])
-        at = find_slots(h, self.index["displacements"].astype(np.int64), n)
-        return self.index["offset"][at], self.index["length"][at], self.index["fingerprint"][at] == fingerprints(h)
+        (store, path), (other, ids) = common.open_store(index), common.open_store(payload)
+        self.index, self.payload, self.width = store.open_input_file(path), other.open_input_file(ids), width
+        self.n, self.buckets = (int(x) for x in np.frombuffer(self.index.read_at(2 * _HEADER.itemsize, 0), _HEADER))
+
+    def _read(self, kind: np.dtype, at: int, many: int = 1) -> np.ndarray:
+        return np.frombuffer(self.index.read_at(many * kind.itemsize, at), kind)
+
+    def slot(self, key: int, occurrence: int) -> np.void | None:
+        """The slot of a key, or None if its fingerprint is another's."""
+        if not self.n:
+            return None
+        h = hashed_keys(np.array([key], np.int64), np.array([occurrence]))
+        start = 2 * _HEADER.itemsize
+        displacement = self._read(_DISPLACEMENT, start + int(h[0] % _U(self.buckets)) * _DISPLACEMENT.itemsize).astype(np.int64)
+        at = int(np.where(displacement < 0, -1 - displacement, _slots(h, np.maximum(displacement, 0), self.n))[0])
+        found = self._read(_SLOT, start + self.buckets * _DISPLACEMENT.itemsize + at * _SLOT.itemsize)[0]
+        return found if found["fingerprint"] == fingerprints(h)[0] else None
+
+    def locate(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and lengths of all of a shard's keys, by the whole index."""
+        h = hashed_keys(keys, occurrences(keys))
+        start = 2 * _HEADER.itemsize
+        displacements = self._read(_DISPLACEMENT, start, self.buckets).astype(np.int64)
+        found = self._read(_SLOT, start + self.buckets * _DISPLACEMENT.itemsize, self.n)[find_slots(h, displacements, self.n)]
+        if not (found["fingerprint"] == fingerprints(h)).all():
+            raise ValueError("the index of a shard is damaged")
+        return found["offset"].astype(np.int64), found["length"].astype(np.int64)
 
     def ids(self, offset: int, length: int) -> np.ndarray:
         return np.frombuffer(self.payload.read_at(int(length) * self.width, int(offset) * self.width), f"<u{self.width}")
@@ -187,9 +212,9 @@ class ShardReader:
 def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if asked.
 
-    The driver holds one number for each shard, the ids before it.
+    A shard's keys are looked up in its index, and its payload is read in large blocks, in order. The driver holds one
+    number for each shard, the ids before it.
     """
-    spark = manifest.sparkSession
     totals = manifest.select("shard", "n_ids").orderBy("shard").collect()
     before = dict(zip([r.shard for r in totals], np.cumsum([0, *(r.n_ids for r in totals)]).tolist(), strict=False))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -198,13 +223,18 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 shard = ShardReader(r["payload"], r["index"], r["width"])
-                keys = shard.index["keys"]
-                offset, length, same = shard.locate(keys, shard.index["occurrence"])
-                if not same.all():
-                    raise ValueError(f"the index of {r['payload']} is damaged")
-                for at in range(0, len(keys), 1024):
-                    part = slice(at, at + 1024)
-                    ids = [shard.ids(o, n) for o, n in zip(offset[part], length[part], strict=True)]
+                store, path = common.open_store(r["keys"])
+                with store.open_input_stream(path) as f:
+                    keys = np.frombuffer(f.read(), "<i8")
+                offset, length = shard.locate(keys)
+                at = 0
+                while at < len(keys):
+                    # documents that fit a block, one at least
+                    past = max(at + 1, int(np.searchsorted(offset, offset[at] + BLOCK)))
+                    part = slice(at, min(past, at + 4096))
+                    end = int(offset[part][-1] + length[part][-1])
+                    held = shard.ids(offset[at], end - offset[at])
+                    ids = [held[o - offset[at] : o - offset[at] + n] for o, n in zip(offset[part], length[part], strict=True)]
                     columns = [
                         pa.array(keys[part], mask=keys[part] == common.NULL_KEY),
                         pa.array(offset[part] + before[r["shard"]]),
@@ -214,22 +244,38 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     if with_ids:
                         columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+                    at = part.stop
 
     return common.map_batches(manifest.repartitionById(max(1, len(totals)), F.col("shard") % max(1, len(totals))), read, schema)
 
 
 def lookup(manifest: DataFrame, key: int | None, occurrence: int = 0) -> np.ndarray | None:
-    """Ids of one document, from the one shard that has its fingerprint and key (None if there is none)."""
-    k, o = np.array([common.NULL_KEY if key is None else key], np.int64), np.array([occurrence])
-    for r in manifest.collect():
+    """Ids of one document (None if there is none): its shard by the manifest's ranges, then four small reads.
+
+    Occurrences are counted within a shard, then in the next that holds the id.
+    """
+    k = common.NULL_KEY if key is None else key
+    for r in manifest.where((F.col("first") <= k) & (F.col("last") >= k)).orderBy("shard").collect():
         shard = ShardReader(r["payload"], r["index"], r["width"])
-        offset, length, same = shard.locate(k, o)
-        keys = shard.index["keys"]
-        if same[0] and keys[min(np.searchsorted(keys, k[0]), len(keys) - 1)] == k[0]:
-            return shard.ids(offset[0], length[0])
+        found = shard.slot(k, occurrence)
+        if found is not None:
+            return shard.ids(found["offset"], found["length"])
+        if r["last"] == k:  # the id may go on in the next shard; its rows here are counted by the same index
+            occurrence -= count_of(shard, k)
     return None
 
 
+def count_of(shard: ShardReader, key: int) -> int:
+    """Occurrences of a key in a shard, by doubling and halving."""
+    low, high = 0, 1
+    while high <= shard.n and shard.slot(key, high - 1) is not None:
+        low, high = high, 2 * high
+    while low + 1 < high:
+        middle = (low + high) // 2
+        low, high = (middle, high) if shard.slot(key, middle - 1) is not None else (low, middle)
+    return low
+
+
 def describe(root: str, tokenizer: str, end_id: int) -> None:
     """A header file that names what the payloads hold."""
     store, path = common.open_store(root)
@@ -241,6 +287,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import vocabulary
 
     root, tokenizer = common.shared_dir(spark, "token-files"), vocabulary("byte_bpe_50k.json")
-    manifest = write_token_shards(common.table(spark, sf_dir, "documents"), root, tokenizer, 2, common.shuffle_parts(spark))
+    docs = common.table(spark, sf_dir, "documents")
+    manifest = write_token_shards(docs, root, tokenizer, 2, max(common.shuffle_parts(spark), common.parts_for(docs, 64 << 20)))
     describe(root, tokenizer, 2)
     return read_token_shards(manifest)

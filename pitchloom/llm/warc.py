@@ -2,20 +2,22 @@
 
 ``write_archives`` writes pages as WARC/1.0 response records in ascending page id, each a gzip member of its own, an
 archive for each range of ids, and returns an inventory (archive, record, id, offset and length as stored, size and
-digest of the record itself). ``read_archives`` parses archives back.
+digest of the record itself) and the archives' files. ``read_archives`` parses archives back.
 
 ``tree`` hashes one replica: a leaf is the SHA-256 of the bytes at a record's offset range, read from the file; a node
 hashes, in order, the offset range and hash of up to ``FANOUT`` nodes below it. A replica's tree is a table (archive,
-level, node, first, past, hash), levels 0 (leaves) to the root. ``audit`` compares roots and then, level by level, only
-the nodes under a mismatch, so intact archives cost one comparison and a damaged one a path for each damaged record.
+node, first, past, hash, level), levels 0 (leaves) to the root, partitioned by level. ``audit`` compares a root for each
+replica, then one for each archive, and then, level by level, only the nodes under a mismatch: intact replicas cost one
+comparison, intact archives one, and a damaged one a path for each damaged record.
 
 A node is made by the task that reads its archive; levels above are made in it, too, so no hash is shuffled to be
 hashed. Damage to a length cannot move what follows: leaves are read at the inventory's ranges, and a file that ends
 early has short leaves.
 
 Cases: a null url or html is written as an empty one; a null page id comes first and has an empty record id; repeated
-ids are separate records, ordered by url and html; an empty table has no archive and no finding; a replica that lacks an archive mismatches at
-every record of it; other columns, whatever their names, are ignored.
+ids are separate records, ordered by url and html (an id of so many rows that it fills several archives is dealt to them
+by a hash of those); an empty table has no archive and no finding; a replica that lacks an archive mismatches at every
+record of it; a record is one page, however long, and must fit a task; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 FANOUT = 16
-INVENTORY = "archive int, record long, page_id long, offset long, length long, size long, digest string, files array<string>"
-TREE = "archive int, level int, node long, first long, past long, hash string"
+INVENTORY = "archive int, record long, page_id long, offset long, length long, size long, digest string"
+TREE = "archive int, node long, first long, past long, hash string, level int"
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -49,14 +51,17 @@ def member(held: bytes) -> bytes:
     return pack.compress(held) + pack.flush()
 
 
-def write_archives(pages: DataFrame, roots: list[str], archives: int) -> DataFrame:
-    """Write the same archives below each root and return the inventory; files lists an archive's path in each replica."""
+def write_archives(pages: DataFrame, roots: list[str], archives: int) -> tuple[DataFrame, DataFrame]:
+    """Write the same archives below each root.
+
+    Returns the inventory, a row for each record, and the files: (archive, files) with an archive's path in each replica.
+    """
     data = pages.select(F.col("page_id").cast("long").alias("k"), F.col("url").alias("u"), F.col("html").alias("h"))
     splits = common.range_splits(data, "k", archives)
-    dealt = data.withColumn("b", common.range_bucket("k", splits)).repartitionById(len(splits) + 1, F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_first(), "u", "h")
+    dealt = data.withColumn("b", common.range_bucket("k", splits, F.xxhash64("u", "h"))).repartitionById(len(splits) + 1, F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_first(), "u", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, archive, at, n, files = [], None, 0, 0, []
+        out, archive, at, n, name = [], None, 0, 0, ""
         for batch in common.in_slices(batches, 256):
             rows = []
             for r in batch.to_pylist():
@@ -64,46 +69,54 @@ def write_archives(pages: DataFrame, roots: list[str], archives: int) -> DataFra
                     for f in out:
                         f.close()
                     archive, at, n, out, name = r["b"], 0, 0, [], f"archive-{r['b']:06d}-{uuid.uuid4().hex[:12]}.warc"
-                    files = [f"{root}/{name}" for root in roots]
-                    for uri in files:
-                        store, path = common.open_store(uri)
+                    for root in roots:
+                        store, path = common.open_store(f"{root}/{name}")
                         store.create_dir(path.rpartition("/")[0])
                         out.append(store.open_output_stream(path))
                 held = record(r["k"], r["u"], r["h"])
                 stored = member(held)
                 for f in out:
                     f.write(stored)
-                rows.append({"archive": archive, "record": n, "page_id": r["k"], "offset": at, "length": len(stored), "size": len(held), "digest": hashlib.sha256(held).hexdigest(), "files": files})
+                rows.append({"archive": archive, "record": n, "page_id": r["k"], "offset": at, "length": len(stored), "size": len(held), "digest": hashlib.sha256(held).hexdigest(), "name": name if n == 0 else None})
                 at, n = at + len(stored), n + 1
             yield pa.RecordBatch.from_pylist(rows, _inventory())
         for f in out:
             f.close()
 
-    return common.durable(common.map_batches(dealt, run, INVENTORY), "inventory")
+    written = common.durable(common.map_batches(dealt, run, f"{INVENTORY}, name string"), "inventory")
+    paths = F.array(*[F.concat(F.lit(f"{root}/"), "name") for root in roots])
+    return written.drop("name"), written.where("name is not null").select("archive", paths.alias("files"))
 
 
 def _inventory() -> pa.Schema:
-    return pa.schema([("archive", pa.int32()), ("record", pa.int64()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("files", pa.list_(pa.string()))])
+    return pa.schema([("archive", pa.int32()), ("record", pa.int64()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("name", pa.string())])
+
+
+def of_replica(files: DataFrame, replica: int) -> DataFrame:
+    return files.select("archive", F.element_at("files", replica + 1).alias("file"))
 
 
-def read_archives(inventory: DataFrame, replica: int = 0) -> DataFrame:
-    """(page_id, url, html) parsed from a replica's files."""
+def read_archives(inventory: DataFrame, files: DataFrame, replica: int = 0) -> DataFrame:
+    """(page_id, url, html) parsed from a replica's files; a task that reads an archive's records in a row opens it once."""
+    data = inventory.join(of_replica(files, replica), "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, source = None, None
         for batch in common.in_slices(batches, 256):
             rows = []
             for r in batch.to_pylist():
-                store, path = common.open_store(r["files"][replica])
-                with store.open_input_file(path) as f:
-                    head, _, body = zlib.decompress(f.read_at(r["length"], r["offset"]), 31).partition(b"\r\n\r\n")
+                if opened != r["file"]:
+                    store, path = common.open_store(r["file"])
+                    opened, source = r["file"], store.open_input_file(path)
+                head, _, body = zlib.decompress(source.read_at(r["length"], r["offset"]), 31).partition(b"\r\n\r\n")
                 fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
                 rows.append({"page_id": r["page_id"], "url": fields["WARC-Target-URI"], "html": body[: int(fields["Content-Length"])].decode("utf-8", "surrogatepass")})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]))
 
-    return common.map_batches(inventory, run, "page_id long, url string, html string")
+    return common.map_batches(data, run, "page_id long, url string, html string")
 
 
-def damage(inventory: DataFrame, replica: int, where: Column, intact: int = 0) -> int:
+def damage(inventory: DataFrame, files: DataFrame, replica: int, where: Column, intact: int = 0) -> int:
     """Damage a byte near the end of the marked records as stored in one replica; how many. For drills.
 
     The byte becomes the complement of the intact replica's, so a repeated task does not mend what it damaged.
@@ -122,23 +135,40 @@ def damage(inventory: DataFrame, replica: int, where: Column, intact: int = 0) -
                     f.write(bytes(held))
                 yield pa.RecordBatch.from_pydict({"n": [len(r["at"])]}, pa.schema([("n", pa.int64())]))
 
-    marked = inventory.where(where).groupBy("files").agg(F.collect_list(F.col("offset") + F.col("length") - 5).alias("at"))
-    return common.map_batches(marked, run, "n long").agg(F.sum("n")).first()[0] or 0
+    marked = inventory.where(where).groupBy("archive").agg(F.collect_list(F.col("offset") + F.col("length") - 5).alias("at"))
+    return common.map_batches(marked.join(files, "archive"), run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+#: Bytes that a task reads of an archive at once.
+READ = 8 << 20
 
 
-def tree(inventory: DataFrame, replica: int) -> DataFrame:
-    """The hash tree of every archive of a replica. An archive's ranges come to its task in order; hashes go up there."""
-    ordered = inventory.select("archive", "record", "offset", "length", F.element_at("files", replica + 1).alias("file"))
+def tree(inventory: DataFrame, files: DataFrame, replica: int) -> DataFrame:
+    """The hash tree of every archive of a replica, partitioned by level: (archive, node, first, past, hash, level).
+
+    An archive's ranges come to its task in order; hashes go up there. The archive is read in large blocks, once. The
+    last node of an archive, of the level above its highest, is its root.
+    """
+    ordered = inventory.select("archive", "record", "offset", "length").join(of_replica(files, replica), "archive", "left")
     ordered = ordered.repartition("archive").sortWithinPartitions("archive", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, source, pending, made = None, None, [], []
+        archive, source, size, pending, made = None, None, 0, [], []
+        held, held_at = b"", 0
+
+        def read(offset: int, length: int) -> bytes:
+            """The bytes of a range as far as they are there."""
+            nonlocal held, held_at
+            if offset < held_at or offset + length > held_at + len(held):
+                held = source.read_at(max(0, min(max(length, READ), size - offset)), offset) if offset < size else b""
+                held_at = offset
+            return held[offset - held_at : offset - held_at + length]
 
         def push(level: int, entry: tuple[int, int, str]) -> None:
             """Add a node at a level; a full row of children becomes a node of the level above."""
             while len(pending) <= level:
                 pending.append([0, []])
-            made.append((archive, level, pending[level][0], *entry))
+            made.append((archive, pending[level][0], *entry, level))
             pending[level][0] += 1
             pending[level][1].append(entry)
             if len(pending[level][1]) == FANOUT:
@@ -158,75 +188,95 @@ def tree(inventory: DataFrame, replica: int) -> DataFrame:
                 level += 1
 
         def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pylist([dict(zip(("archive", "level", "node", "first", "past", "hash"), m, strict=True)) for m in made], _tree())
+            columns = list(zip(*made, strict=True)) or [()] * 6
             made.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, _tree(), strict=True)], schema=_tree())
 
         for batch in common.in_slices(batches, 1024):
             for r in batch.to_pylist():
                 if archive != r["archive"]:
                     if archive is not None:
                         finish()
-                    archive, pending = r["archive"], []
+                    archive, pending, held, held_at, source, size = r["archive"], [], b"", 0, None, 0
                     try:
                         store, path = common.open_store(r["file"])
                         source = store.open_input_file(path)
+                        size = source.size()
                     except FileNotFoundError:
-                        source = None
-                size = source.size() if source else 0
-                held = source.read_at(min(r["length"], max(0, size - r["offset"])), r["offset"]) if source and r["offset"] < size else b""
-                push(0, (r["offset"], r["offset"] + r["length"], hashlib.sha256(held).hexdigest()))
+                        pass
+                part = read(r["offset"], r["length"]) if source else b""
+                push(0, (r["offset"], r["offset"] + r["length"], hashlib.sha256(part).hexdigest()))
             yield rows()
         if archive is not None:
             finish()
         yield rows()
 
-    return common.durable(common.map_batches(ordered, run, TREE), "tree")
+    return common.durable(common.map_batches(ordered, run, TREE), "tree", ["level"])
 
 
 def _tree() -> pa.Schema:
-    return pa.schema([("archive", pa.int32()), ("level", pa.int32()), ("node", pa.int64()), ("first", pa.int64()), ("past", pa.int64()), ("hash", pa.string())])
+    return pa.schema([("archive", pa.int32()), ("node", pa.int64()), ("first", pa.int64()), ("past", pa.int64()), ("hash", pa.string()), ("level", pa.int32())])
+
+
+def archive_roots(nodes: DataFrame) -> DataFrame:
+    """(archive, level, hash): the highest node of each archive."""
+    return nodes.groupBy("archive").agg(F.max_by(F.struct("level", "hash"), "level").alias("t")).select("archive", "t.level", "t.hash")
+
+
+def replica_root(roots: DataFrame) -> str:
+    """The hash of a replica: of its archives' roots in order (a row for each archive, on the driver)."""
+    rows = sorted((r.archive, r.level, r.hash) for r in roots.collect())
+    return hashlib.sha256("".join(f"{a}/{n}:{h};" for a, n, h in rows).encode()).hexdigest()
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """(archive, record) of the leaves in which two replicas' trees differ.
 
-    From the highest level down; at each, only children of nodes that mismatch are compared. The number of levels is
-    the logarithm of an archive's records, and the driver sees only that.
+    First one hash for each replica is compared, then a root for each archive, and then, level by level, only the
+    children of nodes that mismatch: a level's partition is read, and of it what has a mismatching parent is kept before
+    the two sides meet. So intact replicas cost their roots, and a damaged record a path. The number of levels is the
+    logarithm of an archive's records, and the driver sees a root for each archive and counts.
     """
-    both = left.select("archive", "level", "node", F.col("hash").alias("l")).join(right.select("archive", "level", "node", F.col("hash").alias("r")), ["archive", "level", "node"], "full")
-    differ = ~F.col("l").eqNullSafe(F.col("r"))
-    tops = left.union(right).groupBy("archive").agg(F.max("level").alias("top"))
-    highest = tops.agg(F.max("top")).first()[0]
-    if highest is None:
-        return both.select("archive", F.col("node").alias("record")).limit(0)
-    bad = None
+    none = left.select("archive", F.col("node").alias("record")).limit(0)
+    tops = [common.durable(archive_roots(x), "roots") for x in (left, right)]
+    if replica_root(tops[0]) == replica_root(tops[1]):
+        return none
+    a, b = (x.select("archive", F.col("level").alias(n), F.col("hash").alias(h)) for x, n, h in ((tops[0], "n", "l"), (tops[1], "m", "r")))
+    bad = a.join(b, "archive", "full").where(~F.col("l").eqNullSafe(F.col("r"))).select("archive", F.greatest("n", "m").alias("level"))
+    wrong = common.durable(bad, "wrong")
+    highest = wrong.agg(F.max("level")).first()[0]
+    parents = None
     for level in range(highest, -1, -1):
-        here = both.where(F.col("level") == level)
-        roots = here.join(tops.where(F.col("top") == level).select("archive"), "archive", "left_semi").where(differ).select("archive", "node")
-        if bad is not None:
-            parents = bad.withColumnRenamed("node", "parent")
-            children = here.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parents, ["archive", "parent"], "left_semi").where(differ).select("archive", "node")
-            roots = roots.union(children)
-        bad = common.durable(roots, "mismatch")
-    return bad.select("archive", F.col("node").alias("record"))
+        sides = []
+        for x, h in ((left, "l"), (right, "r")):
+            here = x.where(F.col("level") == level).select("archive", "node", F.col("hash").alias(h))
+            wanted = here.join(wrong.where(F.col("level") == level).select("archive"), "archive", "left_semi")
+            if parents is not None:
+                children = here.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parents, ["archive", "parent"], "left_semi")
+                wanted = wanted.union(children.select("archive", "node", h))
+            sides.append(wanted)
+        differ = sides[0].join(sides[1], ["archive", "node"], "full").where(~F.col("l").eqNullSafe(F.col("r"))).select("archive", "node")
+        found = common.durable(differ, "mismatch")
+        parents = found.select("archive", F.col("node").alias("parent"))
+    return found.select("archive", F.col("node").alias("record"))
 
 
 def fixity(pages: DataFrame, archives: int, damaged: Column) -> DataFrame:
     """A drill: two replicas, damage in the second, and the audit's finding for every record."""
     spark = pages.sparkSession
     root = common.shared_dir(spark, "archives")
-    inventory = write_archives(pages, [f"{root}/a", f"{root}/b"], archives)
-    damage(inventory, 1, damaged)
-    first = tree(inventory, 0)
-    found = audit(first, tree(inventory, 1)).withColumn("mismatch", F.lit(True))
+    inventory, files = write_archives(pages, [f"{root}/a", f"{root}/b"], archives)
+    damage(inventory, files, 1, damaged)
+    found = audit(tree(inventory, files, 0), tree(inventory, files, 1)).withColumn("mismatch", F.lit(True))
     joined = inventory.join(found, ["archive", "record"], "left")
     return joined.select("page_id", "archive", "record", "offset", "length", "size", "digest", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record, its hash, and whether the audit finds it damaged, as it is for ids whose crc32 is 0 mod 50."""
-    found = fixity(common.table(spark, sf_dir, "pages"), common.shuffle_parts(spark), F.coalesce(common.id_fold("page_id", 50) == 0, F.lit(False)))
+    pages = common.table(spark, sf_dir, "pages")
+    archives = max(common.shuffle_parts(spark), common.parts_for(pages, 256 << 20))
+    found = fixity(pages, archives, F.coalesce(common.id_fold("page_id", 50) == 0, F.lit(False)))
     return found.select("page_id", F.col("size").alias("length"), F.col("digest").alias("record_sha256"), "mismatch")
 
 

@@ -81,30 +81,77 @@ def pages(spark):
 
 def test_archives_round_trip(spark, pages):
     root = common.shared_dir(spark, "w")
-    inventory = warc.write_archives(pages, [root], 3)
-    got = sorted(((r.page_id is None, r.page_id, r.url, r.html) for r in warc.read_archives(inventory).collect()), key=repr)
+    inventory, files = warc.write_archives(pages, [root], 3)
+    got = sorted(((r.page_id is None, r.page_id, r.url, r.html) for r in warc.read_archives(inventory, files).collect()), key=repr)
     assert got == sorted(((r.page_id is None, r.page_id, r.url or "", r.html or "") for r in pages.collect()), key=repr)
+    assert files.count() <= 3 and inventory.columns == ["archive", "record", "page_id", "offset", "length", "size", "digest"]
+
+
+def test_pages_with_other_columns_and_a_long_one(spark):
+    rows = [(1, "u", "x" * 3_000_000, "a", 7, 0.5), (2, "v", "é", None, None, None), (2, "w", "é", "b", 1, 1.0)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, archive string, record int, OFFSET double")
+    found = warc.fixity(odd, 2, F.col("page_id") == 1).collect()
+    assert sorted((r.page_id, r.mismatch) for r in found) == [(1, True), (2, False), (2, False)]
+    assert all(r.digest == __import__("hashlib").sha256(warc.record(p, u, h)).hexdigest() for r in found for p, u, h, *_ in rows if r.page_id == p == 1)
+
+
+def test_an_id_of_many_pages_fills_several_archives(spark):
+    many = spark.createDataFrame([(4, f"http://x/{i}", "p") for i in range(400)] + [(i, "u", "q") for i in range(50)], "page_id long, url string, html string")
+    inventory, files = warc.write_archives(many, [common.shared_dir(spark, "w")], 8)
+    own = Counter(r.archive for r in inventory.where("page_id = 4").collect())
+    assert len(own) >= 5 and max(own.values()) < 150
+    assert warc.read_archives(inventory, files).count() == 450
 
 
 def test_audit_finds_just_the_damage(spark, pages):
     root = common.shared_dir(spark, "w")
-    inventory = warc.write_archives(pages, [f"{root}/a", f"{root}/b"], 2)
-    intact = warc.tree(inventory, 0)
-    assert warc.audit(intact, warc.tree(inventory, 1)).count() == 0
-    assert warc.damage(inventory, 1, F.col("page_id").isin(3, 41, 300)) == 3
-    assert warc.damage(inventory, 1, F.col("page_id").isin(3, 41, 300)) == 3  # a repeated task changes nothing
-    broken = warc.tree(inventory, 1)
+    inventory, files = warc.write_archives(pages, [f"{root}/a", f"{root}/b"], 2)
+    intact = warc.tree(inventory, files, 0)
+    assert warc.audit(intact, warc.tree(inventory, files, 1)).count() == 0
+    assert warc.damage(inventory, files, 1, F.col("page_id").isin(3, 41, 300)) == 3
+    assert warc.damage(inventory, files, 1, F.col("page_id").isin(3, 41, 300)) == 3  # a repeated task changes nothing
+    broken = warc.tree(inventory, files, 1)
     found = warc.audit(intact, broken).join(inventory, ["archive", "record"])
     assert sorted(r.page_id for r in found.collect()) == [3, 41, 300]
-    roots = lambda t: {r.archive: r.hash for r in t.where("level = (SELECT 0) or true").orderBy("level").collect()}
-    assert roots(intact) != roots(broken)
+    roots = [warc.replica_root(warc.archive_roots(t)) for t in (intact, broken, intact)]
+    assert roots[0] == roots[2] != roots[1]
     # a replica cut short
-    store, path = common.open_store(inventory.first().files[1])
+    paths = files.first().files
+    store, path = common.open_store(paths[1])
     with store.open_input_stream(path) as f:
         held = f.read()
     with store.open_output_stream(path) as f:
         f.write(held[: len(held) // 2])
-    assert warc.audit(intact, warc.tree(inventory, 1)).count() > 10
+    assert warc.audit(intact, warc.tree(inventory, files, 1)).count() > 10
+    # and one that is gone
+    store.delete_file(path)
+    archive = files.first().archive
+    lost = warc.audit(intact, warc.tree(inventory, files, 1))
+    assert lost.where(F.col("archive") == archive).count() == inventory.where(F.col("archive") == archive).count()
+
+
+def test_trees_against_brute_force(spark, pages):
+    """Every node by hashing, level by level, and the audit as the difference of all leaves."""
+    import hashlib
+
+    root = common.shared_dir(spark, "w")
+    inventory, files = warc.write_archives(pages, [f"{root}/a"], 3)
+    got = {(r.archive, r.level, r.node): (r.first, r.past, r.hash) for r in warc.tree(inventory, files, 0).collect()}
+    expected = {}
+    for f in files.collect():
+        store, path = common.open_store(f.files[0])
+        with store.open_input_stream(path) as source:
+            held = source.read()
+        own = sorted((r.record, r.offset, r.length) for r in inventory.where(F.col("archive") == f.archive).collect())
+        level, nodes = 0, [(o, o + n, hashlib.sha256(held[o : o + n]).hexdigest()) for _, o, n in own]
+        while True:
+            expected |= {(f.archive, level, i): x for i, x in enumerate(nodes)}
+            if len(nodes) == 1 and level:
+                break
+            parts = [nodes[i : i + warc.FANOUT] for i in range(0, len(nodes), warc.FANOUT)]
+            nodes = [(p[0][0], p[-1][1], hashlib.sha256("".join(f"{a}-{b}:{x};" for a, b, x in p).encode()).hexdigest()) for p in parts]
+            level += 1
+    assert got == expected
 
 
 def test_fixity_of_nothing(spark, pages):

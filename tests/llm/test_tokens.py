@@ -73,6 +73,60 @@ def test_token_files_round_trip(spark, odd_documents):
     assert len(token_files.lookup(manifest, 8, 2)) > 1 and token_files.lookup(manifest, 99) is None
 
 
+def test_a_lookup_reads_four_small_ranges(spark, corpus, monkeypatch):
+    manifest = token_files.write_token_shards(corpus, common.shared_dir(spark, "t"), BYTE, 2, 6)
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    opened, reads = [], []
+    open_store = common.open_store
+
+    class Counted:
+        def __init__(self, store):
+            self.store = store
+
+        def open_input_file(self, path):
+            opened.append(path)
+            inner = self.store.open_input_file(path)
+
+            class File:
+                def read_at(self, n, at):
+                    reads.append(n)
+                    return inner.read_at(n, at)
+
+            return File()
+
+    monkeypatch.setattr(common, "open_store", lambda uri: (Counted(open_store(uri)[0]), open_store(uri)[1]))
+    for k in list(texts)[:20]:
+        opened.clear()
+        reads.clear()
+        ids = [*whole(BYTE, texts[k]), 2]
+        assert token_files.lookup(manifest, k).tolist() == ids
+        assert len(opened) == 2 and sorted(reads) == sorted([16, 4, 24, 2 * len(ids)])
+    assert token_files.lookup(manifest, 10**9) is None and token_files.lookup(manifest, -5) is None
+
+
+def test_an_id_of_many_rows_fills_several_shards(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(200)] + [(i, f"other {i}") for i in range(20)], "doc_id long, text string")
+    manifest = token_files.write_token_shards(docs, common.shared_dir(spark, "t"), BYTE, 2, 6)
+    assert max(r.n_docs for r in manifest.collect()) < 100
+    got = token_files.read_token_shards(manifest, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in docs.collect())
+    assert sorted(r.ids for r in got) == sorted([*whole(BYTE, r.text), 2] for r in docs.collect())
+    own = [r.ids for r in got if r.doc_id == 7]
+    assert [token_files.lookup(manifest, 7, i).tolist() for i in (0, 1, 99, 100, 199, 200)] == [own[i] for i in (0, 1, 99, 100, 199, 200)]
+    assert len(own) == 201 and token_files.lookup(manifest, 7, 201) is None
+
+
+def test_scans_in_small_blocks(spark, corpus, monkeypatch):
+    manifest = token_files.write_token_shards(corpus, common.shared_dir(spark, "t"), BYTE, 2, 3)
+    for r in manifest.collect():
+        shard = token_files.ShardReader(r["payload"], r["index"], r["width"])
+        store, path = common.open_store(r["keys"])
+        with store.open_input_stream(path) as f:
+            keys = np.frombuffer(f.read(), "<i8")
+        offset, length = shard.locate(keys)
+        assert (offset == np.cumsum(length) - length).all() and length.sum() == r.n_ids and (r["first"], r["last"]) == (keys[0], keys[-1])
+
+
 def test_token_files_of_nothing(spark, no_documents):
     manifest = token_files.write_token_shards(no_documents, common.shared_dir(spark, "t"), BYTE, 2, 3)
     assert manifest.count() == 0 and token_files.read_token_shards(manifest).count() == 0
