@@ -163,7 +163,7 @@ def range_bucket(key: str, splits: Sequence[int], tie: Column | None = None) ->
 
 def parts_for(df: DataFrame, size: int) -> int:
     """Parts of about so many bytes, by the size that Spark's statistics have of a table."""
-    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, -(-held // size))
 
 

@@ -6,17 +6,21 @@ most x size / weight, the first k are full, and the level is what is left over t
 
 A source is then taken floor(target / size) times whole (its complete epochs), and the fraction that remains is a
 weighted sample without replacement: each document has the exponential key -ln(u) / quality, and documents are taken
-in the order of their keys while the running sum of sizes keeps within the budget. The document that crosses the
-budget is left; instead, of it and those behind it, the one whose size is nearest to the gap is taken if that comes
-nearer than none, and so on for ``fillers`` documents at most. u comes from the md5 of seed and id, so reruns agree.
+in the order of their keys while the running sum of sizes keeps within the budget. The document that crosses the budget
+is passed over, and so are all behind it that are longer than the gap that is left; of the others the order is gone
+through once more, while their running sum keeps within the gap. Then the one whose size is nearest to what is left is
+taken if that comes nearer than none, and so on for ``fillers`` documents at most. u comes from the md5 of seed and id,
+so reruns agree.
 
-The running sum never gathers a source in one task: keys fall into ranges of equal width, sums of the ranges (one
-row for each source and range) are summed over earlier ranges, and only within a range are documents ordered.
+A running sum never gathers a source in one task: keys fall into ranges of equal width, about as many as a range has
+documents; sums of the ranges (one row for each source and range) are summed over earlier ranges, and only within a range
+are documents ordered.
 
 Cases: a null text has size 0 and is taken 0 words; a null source is a source of its own, last; an id that is null
 draws as the empty text; rows that repeat an id and text are separate rows, told apart by their order; sources of
-size 0 have target 0; an empty table gives no row; other columns, whatever their names, are kept by ``mix`` and
-``stage`` and ignored by the query.
+size 0 have target 0; where less than a word of budget is left, no document is taken beyond the epochs, empty ones
+included; an empty table gives no row; other columns, whatever their names, are kept by ``mix`` and ``stage`` and ignored
+by the query.
 """
 
 from __future__ import annotations
@@ -26,8 +30,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Width of a key range; keys are exponential of rate 1 at most, so a range has at most this share of a source.
-RANGE = 1.0 / 1024
 #: Characters that count against a text's quality.
 SYMBOLS = "#*$%&|<>"
 
@@ -81,26 +83,38 @@ def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), sampling_key(F.coalesce(F.col(id_col).cast("string"), F.lit("")), quality_weight(text), seed).alias("key"), F.xxhash64(text).alias("tie")),
         "drawn",
     )
-    goal = targets(drawn.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    counted = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    counted = common.durable(counted, "sources")
+    goal = targets(counted.drop("rows"), weights, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("g", F.struct("source"))
-    goal = common.durable(goal, "targets")
-
-    ranged = drawn.withColumn("g", F.struct("source")).withColumn("range", F.floor(F.col("key") / RANGE))
-    in_order = Window.partitionBy("g", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie")
-    summed = ranged.groupBy("g", "range").agg(F.sum("size").alias("n"))
-    earlier = summed.withColumn("earlier", F.sum("n").over(Window.partitionBy("g").orderBy("range")) - F.col("n")).drop("n")
-    placed = ranged.select("*", F.row_number().over(in_order).alias("place"), F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum")).join(earlier, ["g", "range"])
-    placed = common.durable(placed.select("doc_id", "source", "size", "g", "range", "place", (F.col("earlier") + F.col("sum")).alias("upto")), "placed")
+    goal = goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("g", F.struct("source")).drop("source")
+    # keys are exponential of rate 1 at most, so of n documents a range of 1 / sqrt(n) has about sqrt(n) at most
+    ranges = counted.select(F.struct("source").alias("g"), F.sqrt("rows").alias("ranges"))
+    goal = common.durable(goal.join(ranges, "g"), "targets")
 
     # goal has a row for each source; Spark broadcasts it below its own size limit and else joins by shuffle
-    within = F.col("upto") <= F.col("budget")
-    reached = placed.join(goal, "g").groupBy("g").agg(F.max(F.when(within, F.col("upto"))).alias("reached"))
-    state = goal.join(reached, "g").select("g", "source_size", "target", "epochs", "budget", (F.col("budget") - F.coalesce("reached", F.lit(0))).alias("gap"), F.expr("cast(array() as array<struct<range: bigint, place: int>>)").alias("fills"))
+    ranged = drawn.withColumn("g", F.struct("source")).join(goal.select("g", "ranges"), "g").withColumn("range", F.floor(F.col("key") * F.col("ranges"))).drop("ranges")
+    in_order = Window.partitionBy("g", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie")
+    placed = ranged.select("doc_id", "source", "size", "g", "range", F.row_number().over(in_order).alias("place"))
+    placed = common.durable(running(placed, "size", "upto"), "placed")
+
+    first = (F.col("upto") <= F.col("budget")) & (F.col("budget") >= 1)
+    reached = placed.join(goal, "g").groupBy("g").agg(F.max(F.when(first, F.col("upto"))).alias("reached"))
+    left = goal.join(reached, "g").withColumn("gap", F.when(F.col("budget") >= 1, F.col("budget")).otherwise(F.lit(0.0)) - F.coalesce("reached", F.lit(0)))
+    left = common.durable(left.drop("reached"), "mix-gap")
+    fits = ~first & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    again = placed.join(left.select("g", "budget", "gap"), "g").withColumn("short", F.when(fits, F.col("size")).otherwise(F.lit(0)))
+    again = running(again, "short", "upto2")
+    second = (F.col("short") > 0) & (F.col("upto2") <= F.col("gap"))
+    again = again.select("doc_id", "source", "size", "g", "range", "place", (first | second).alias("taken"), F.when(second, F.col("upto2")).alias("filled"))
+    placed = common.durable(again, "mix-placed")
+
+    filled = placed.groupBy("g").agg(F.coalesce(F.max("filled"), F.lit(0)).alias("filled"))
+    state = left.join(filled, "g").select("g", "source_size", "target", "epochs", "budget", (F.col("gap") - F.col("filled")).alias("gap"), F.expr("cast(array() as array<struct<range: bigint, place: int>>)").alias("fills"))
     here = F.struct("range", "place")
     for _ in range(fillers):
         state = common.durable(state, "mix-state")
-        behind = placed.join(state, "g").where(~within & (F.col("size") > 0) & ~F.array_contains("fills", here))
+        behind = placed.join(state, "g").where(~F.col("taken") & (F.col("budget") >= 1) & (F.col("size") > 0) & ~F.array_contains("fills", here))
         best = behind.groupBy("g").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "range", "place", "size")).alias("best"))
         nearer = F.col("best.off") < F.abs("gap")
         state = state.join(best, "g", "left").select(
@@ -109,12 +123,23 @@ def allot(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
             F.when(nearer, F.array_append("fills", F.struct("best.range", "best.place"))).otherwise(F.col("fills")).alias("fills"),
         )
     out = placed.join(common.durable(state, "mix-state"), "g")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.when(within | F.array_contains("fills", here), 1).otherwise(0)).alias("times"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.when(F.col("taken") | F.array_contains("fills", here), 1).otherwise(0)).alias("times"))
+
+
+def running(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows (g, range, place, ...) with the running sum of a value over each g, in the order of range and place."""
+    summed = rows.groupBy("g", "range").agg(F.sum(value).alias("__n"))
+    earlier = summed.select("g", "range", (F.sum("__n").over(Window.partitionBy("g").orderBy("range")) - F.col("__n")).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy("g", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__sum", within).join(earlier, ["g", "range"]).withColumn(name, F.col("__before") + F.col("__sum")).drop("__before", "__sum")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as many times as it is taken; rows that repeat an id share their takes in order."""
-    taken = allot(docs, **options).where("times > 0").groupBy("doc_id").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    """The documents themselves, each as many times as it is taken; rows that repeat an id share their takes in order.
+
+    Options are those of allot.
+    """
+    taken = allot(docs, **options).groupBy("doc_id").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
     several = taken.where("rows > 1 or doc_id is null")
     columns = docs.columns
     named = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(columns)})
@@ -164,15 +189,20 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGI
 p AS (SELECT d.doc_id, d.size, e.source, e.source_size, e.target, e.epochs, e.budget, d.key,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-s0 AS (SELECT source, max(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0) AS gap, []::BIGINT[] AS fills FROM p GROUP BY source){steps}
-SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, round(p.target, 6) AS target,
-       (p.size * (epochs + CASE WHEN upto <= budget OR list_contains(z.fills, p.doc_id) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p JOIN s3 z ON p.source IS NOT DISTINCT FROM z.source
+g1 AS (SELECT source, CASE WHEN max(budget) >= 1 THEN max(budget) ELSE 0.0 END - coalesce(max(upto) FILTER (WHERE upto <= budget AND budget >= 1), 0) AS gap FROM p GROUP BY source),
+p1 AS (SELECT p.*, g1.gap AS gap1, p.upto <= p.budget AND p.budget >= 1 AS first FROM p JOIN g1 ON p.source IS NOT DISTINCT FROM g1.source),
+p2 AS (SELECT *, CASE WHEN NOT first AND size > 0 AND size <= gap1 THEN size ELSE 0 END AS short FROM p1),
+p3 AS (SELECT *, sum(short) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto2 FROM p2),
+q AS (SELECT *, first OR (short > 0 AND upto2 <= gap1) AS took, CASE WHEN short > 0 AND upto2 <= gap1 THEN upto2 END AS filled FROM p3),
+s0 AS (SELECT source, max(gap1) - coalesce(max(filled), 0) AS gap, []::BIGINT[] AS fills FROM q GROUP BY source){steps}
+SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, round(q.target, 6) AS target,
+       (q.size * (epochs + CASE WHEN took OR list_contains(z.fills, q.doc_id) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM q JOIN s3 z ON q.source IS NOT DISTINCT FROM z.source
 """
 _STEP = """,
 b{i} AS (SELECT p.source, arg_min({{'id': doc_id, 'size': size}}, {{'off': abs(size - gap), 'key': key}}) AS best, min(abs(size - gap)) AS off
-       FROM p JOIN s{j} s ON p.source IS NOT DISTINCT FROM s.source
-       WHERE upto > budget AND size > 0 AND NOT list_contains(fills, doc_id) GROUP BY p.source),
+       FROM q p JOIN s{j} s ON p.source IS NOT DISTINCT FROM s.source
+       WHERE NOT took AND budget >= 1 AND size > 0 AND NOT list_contains(fills, doc_id) GROUP BY p.source),
 s{i} AS (SELECT s.source, CASE WHEN off < abs(gap) THEN gap - best.size ELSE gap END AS gap,
               CASE WHEN off < abs(gap) THEN list_append(fills, best.id) ELSE fills END AS fills
        FROM s{j} s LEFT JOIN b{i} b ON s.source IS NOT DISTINCT FROM b.source)"""

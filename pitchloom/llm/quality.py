@@ -31,6 +31,7 @@ SYMBOLS = "#*$%&|<>"
 GOOD, BAD, ABSTAIN = "g", "b", "-"
 WINDOW = 5
 _RUNS = re.compile("[#*$%&|<>]+")
+_ASCII_UPPER, _BEYOND_ASCII = bytes(range(65, 91)), re.compile("[^\x00-\x7f]+")
 RULES = 9
 
 
@@ -58,6 +59,13 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def uppers(text: str) -> int:
+    """Upper-case letters: the ASCII ones by one deletion, the others one by one."""
+    plain = text.encode("utf-8", "surrogatepass")
+    n = len(plain) - len(plain.translate(None, _ASCII_UPPER))
+    return n if text.isascii() else n + sum(map(str.isupper, "".join(_BEYOND_ASCII.findall(text))))
+
+
 def statistics(text: str | None) -> dict[str, int]:
     text = text or ""
     words = common.words(text)
@@ -69,7 +77,7 @@ def statistics(text: str | None) -> dict[str, int]:
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": repeat_words(words),
         "n_lines": len(lines),
-        "n_upper": sum(map(str.isupper, text)),
+        "n_upper": uppers(text),
         "n_symbol_runs": len(_RUNS.findall(text)),
         "n_plain": sum(map(str.isalpha, text.split())),
         "n_marks": sum(map(text.count, "!?.,;:|")),

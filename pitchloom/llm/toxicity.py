@@ -158,7 +158,7 @@ def sample(docs: DataFrame, positives: DataFrame, others: DataFrame, id_col: str
     marked = positives.select(k, F.lit(True).alias("p")).join(others.select(k, F.lit(True).alias("u")), "k", "full")
     # ids are at most the documented bound of the sample, 8 bytes each
     chosen = docs.select(k, F.col(text_col).alias("t")).join(F.broadcast(marked), "k").select(F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"), "t")
-    return common.durable(chosen.repartition(common.shuffle_parts(docs.sparkSession), F.xxhash64("t")), "sample")
+    return common.durable(chosen.repartition(common.shuffle_parts(docs.sparkSession)), "sample")  # dealt in turn: copies are no one task's
 
 
 def count_features(texts: DataFrame, known: np.ndarray | None) -> DataFrame:

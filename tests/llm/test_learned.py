@@ -236,7 +236,7 @@ def test_repeat_words(words):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab #*$%&|<>\n\t\x0b\x0c\r\x1c é", max_size=80))
+@given(st.text(alphabet="abAZ #*$%&|<>\n\t\x0b\x0c\r\x1c é", max_size=80))
 def test_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, dup = set(), 0
@@ -245,6 +245,7 @@ def test_statistics(text):
             dup += line in seen
             seen.add(line)
     s = quality.statistics(text)
+    assert quality.uppers(text + "ÄßÉ日Σ") == sum(map(str.isupper, text + "ÄßÉ日Σ"))
     assert (s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup)
 
 
@@ -260,6 +261,36 @@ def test_estimate_finds_accuracies():
     assert on_good == pytest.approx(alarm, abs=0.05) and on_bad == pytest.approx(find, abs=0.1)
 
 
+def brute_posterior(pattern, share, on_good, on_bad):
+    """Bayes' rule, rule by rule."""
+    good, bad = share, 1 - share
+    for c, a, b in zip(pattern, on_good, on_bad):
+        if c == "b":
+            good, bad = good * a, bad * b
+        elif c == "g":
+            good, bad = good * (1 - a), bad * (1 - b)
+    return good / (good + bad)
+
+
+def test_verdicts_against_brute_force(spark):
+    """The posterior of every pattern by Bayes' rule, and one step of expectation-maximisation changes nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = quality.judge(docs).collect()
+    patterns = Counter(r.votes for r in rows)
+    share, on_good, on_bad = quality.estimate(patterns)
+    for r in rows:
+        p = brute_posterior(r.votes, share, on_good, on_bad)
+        assert r.quality_probability == pytest.approx(p, abs=1e-8)
+        assert r.kept == (not r.base_failed and r.quality_probability >= 0.5)
+    weight = 0.1 * len(rows) + 1
+    q = {v: brute_posterior(v, share, on_good, on_bad) for v in patterns}
+    assert (sum(n * q[v] for v, n in patterns.items()) + 0.85 * weight) / (len(rows) + weight) == pytest.approx(share, abs=1e-6)
+    for i in range(quality.RULES):
+        bad = sum(n * q[v] for v, n in patterns.items() if v[i] == "b")
+        cast = sum(n * q[v] for v, n in patterns.items() if v[i] != "-")
+        assert (bad + 0.005 * weight) / (cast + weight) == pytest.approx(on_good[i], abs=1e-6)
+
+
 def test_quality(spark, odd_documents, no_documents):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = quality.judge(docs).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()

@@ -55,6 +55,25 @@ def test_mix_equals_sql(spark):
     assert sorted(map(tuple, queries.QUERIES["op5_mix"](spark, SF).select(*columns).collect())) == sorted(r.fetchall())
 
 
+def test_empty_documents_are_not_taken_beyond_whole_epochs(spark):
+    """Three whole epochs leave no budget, so no document is taken a fourth time, empty ones included."""
+    docs = spark.createDataFrame([(i, "" if i % 8 else "word " * 5, "small") for i in range(32)] + [(100 + i, "word " * 50, "large") for i in range(40)], "doc_id long, text string, source string")
+    rows = mixing.allot(docs, seed="x").collect()
+    assert max(r.times for r in rows) <= 3
+    assert mixing.mix(docs, seed="x").count() == sum(r.times for r in rows)
+
+
+def test_a_long_document_at_the_budget_leaves_no_large_gap(spark):
+    """Many short documents behind a long one that does not fit fill what it leaves."""
+    docs = spark.createDataFrame([(i, "w " * (5000 if i % 20 == 0 else 30), "a" if i < 400 else "b") for i in range(500)], "doc_id long, text string, source string")
+    for seed in "abcd":
+        by = defaultdict(list)
+        for r in mixing.allot(docs, seed=seed).collect():
+            by[r.source].append(r)
+        for own in by.values():
+            assert abs(sum(r.size * r.times for r in own) - own[0].target) <= 31
+
+
 def test_sampling_order(spark):
     """Heavier documents come earlier, by the ratio of their weights."""
     df = spark.range(4000).select(mixing.sampling_key(F.col("id").cast("string"), F.lit(1.0), "s").alias("a"), mixing.sampling_key((F.col("id") + 4000).cast("string"), F.lit(0.25), "s").alias("b"))
@@ -180,3 +199,23 @@ def test_pipeline(spark):
     fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("past")).collect()
     assert all(r.n == r.past <= 4096 for r in fill) and len(fill) <= math.ceil(sum(r.n for r in fill) / 4096) * 1.05 + 1
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length").collect()))
+    keys = corpus_pipeline.run(spark, SF).select("doc_id", "copy", "piece")
+    assert keys.count() == keys.distinct().count()
+
+
+def pipeline_over(spark, tmp_path, docs, labels):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path, odd_documents):
+    labels = spark.createDataFrame([(1, 0, 0), (4, 1, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    found = pipeline_over(spark, tmp_path, odd_documents, labels)
+    assert found and all(r.length > 0 and r.offset + r.length <= 4096 for r in found)
+    assert not {2, 3, 7} & {r.doc_id for r in found}  # no letter, no language
+    assert 5 not in {r.doc_id for r in found}  # the text of 1
+
+
+def test_pipeline_of_nothing(spark, tmp_path, no_documents):
+    assert pipeline_over(spark, tmp_path, no_documents, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == []
