@@ -2,11 +2,18 @@
 
 Each stage takes what its predecessor kept, all of it, as Parquet in the shared folder, so a lost executor repeats
 tasks of one stage at most.
+
+Cases: documents with a null or empty text, or without a letter, have no language and go; texts of a null id, or of an
+id that several rows share, are documents of their own; of equal and near-equal texts one stays, whatever their ids;
+rows without a label are not learned from, and without any label no document is toxic; a document that the mix takes
+several times is several copies, numbered in ``copy``, so (doc_id, copy, piece) names a row of the result where ids are
+unique; an empty table gives no row; other columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from pitchloom.llm import common, langid, mixing, packing, simhash, toxicity
 
@@ -16,7 +23,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pitchloom.llm.tokens import vocabulary
 
     packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # copies of a piece are alike, so any of them may be any copy's; the ids' checksum keeps null ids apart
+    copies = Window.partitionBy("doc_id", "piece", "ids_crc32").orderBy("sequence_id", "offset")
+    copy = (F.row_number().over(copies) - 1).alias("copy")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", copy)
 
 
 STAGES = [
