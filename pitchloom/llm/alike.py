@@ -91,7 +91,7 @@ def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.map_batches(given, run, "doc_id long, tie long, node long, size int, fp long, sketch binary")
 
 
-def once(ties: list[int], seen: set[int], most: int = 1_000_000) -> list[int]:
+def once(ties: list[int], seen: set[int], most: int = 200_000) -> list[int]:
     """Places of the ties that a task has not met; what it has met is forgotten at a size, which costs work alone."""
     if len(seen) > most:
         seen.clear()

@@ -35,7 +35,7 @@ DIRECT, HASHED = 1024, 1024
 PLACES = DIRECT + HASHED
 UNDETERMINED = "und"
 #: Trigrams whose dense counts and vectors are held at once, and distinct trigrams that tell a language.
-BLOCK, TELLING = 8192, 10
+BLOCK, TELLING = 4096, 10
 
 
 @lru_cache(1)
@@ -80,7 +80,7 @@ def trigram_vectors(ids: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
 
 
 class Vectors:
-    """A worker's table of trigram vectors, as 32-bit floats; emptied when it holds most trigrams it may."""
+    """A task's table of trigram vectors, a byte for each number; emptied when it holds most trigrams it may."""
 
     def __init__(self, dimensions: int, seed: int, most: int = 40_000):
         self.dimensions, self.seed, self.most = dimensions, seed, most
@@ -89,7 +89,7 @@ class Vectors:
     def _empty(self) -> None:
         self.ids = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)
-        self.table = np.zeros((0, self.dimensions), np.float32)
+        self.table = np.zeros((0, self.dimensions), np.int8)
 
     def bundle(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """A row for each text: its dense counts of the trigrams that the texts have, times those trigrams' vectors."""
@@ -113,11 +113,11 @@ class Vectors:
                 self._empty()
                 fresh = ids
             self.at = np.r_[self.at, len(self.table) + np.arange(len(fresh))]
-            self.table = np.concatenate([self.table, trigram_vectors(fresh, self.dimensions, self.seed).astype(np.float32)])
+            self.table = np.concatenate([self.table, trigram_vectors(fresh, self.dimensions, self.seed)])
             self.ids = np.r_[self.ids, fresh]
             order = np.argsort(self.ids, kind="stable")
             self.ids, self.at = self.ids[order], self.at[order]
-        return self.table[self.at[np.searchsorted(self.ids, ids)]]
+        return self.table[self.at[np.searchsorted(self.ids, ids)]].astype(np.float32)
 
 
 def count_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 1_000_000) -> DataFrame:
@@ -186,8 +186,12 @@ def predictor(training: DataFrame, lang_col: str, text_col: str, dimensions: int
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
 
+    held: list[Vectors] = []  # of a task, which has this function to itself
+
     def predict(texts: pa.Array) -> list[pa.Array]:
-        table = worker_vectors(dimensions, seed)
+        if not held:
+            held.append(Vectors(dimensions, seed))
+        table = held[0]
         counted = [trigram_counts(t or "") for t in texts.to_pylist()]
         found, scores = [UNDETERMINED] * len(counted), [0.0] * len(counted)
         some = [i for i, (ids, _) in enumerate(counted) if len(ids)]
@@ -202,15 +206,6 @@ def predictor(training: DataFrame, lang_col: str, text_col: str, dimensions: int
 
 
 _RESULT = {"lang_pred": "string", "score": "double", "n_trigrams": "long"}
-_tables: dict[tuple[int, int], Vectors] = {}
-
-
-def worker_vectors(dimensions: int, seed: int) -> Vectors:
-    """A worker's table; workers are reused across tasks, and so is what it holds."""
-    if (dimensions, seed) not in _tables:
-        _tables.clear()
-        _tables[dimensions, seed] = Vectors(dimensions, seed)
-    return _tables[dimensions, seed]
 
 
 def identify(docs: DataFrame, training: DataFrame, *, lang_col: str = "lang", text_col: str = "text", dimensions: int = 1024, seed: int = 7) -> DataFrame:

@@ -174,7 +174,7 @@ def count_features(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
             for t in batch.column("t").to_pylist():
                 found = features(t)
                 seen.update(found if wanted is None else found & wanted)
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 yield report()
                 seen.clear()
         yield report()
@@ -249,7 +249,7 @@ def scorer(model: Model) -> Callable[[pa.Array], list[pa.Array]]:
         return math.fsum(parts)  # exact, so the order of words is of no effect
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        if len(of_word) > 500_000:
+        if len(of_word) > 100_000:
             of_word.clear()
             of_beginning.clear()
         z = np.array([margin(t) for t in texts.to_pylist()], float)
