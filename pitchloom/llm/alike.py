@@ -81,10 +81,13 @@ def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.in_slices(batches):
-            hashes = [shingle_hashes(t, 5) for t in batch.column("t").to_pylist()]
-            held = [np.unique(np.array(h, np.uint64)) for h in hashes]
-            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("tie"), pa.array([node_of(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int32()), pa.array(fp), pa.array([sketch(h).tobytes() for h in held], pa.binary())]
+            found = []
+            for t in batch.column("t"):
+                hashes = shingle_hashes(t.as_py(), 5)
+                held = np.unique(np.array(hashes, np.uint64))
+                found.append((node_of(held), len(held), majority(hashes), sketch(held).tobytes()))
+            node, size, fp, marks_ = zip(*found, strict=True)
+            columns = [batch.column("doc_id"), batch.column("tie"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(marks_, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "node", "size", "fp", "sketch"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_column(text_col).alias("t")).withColumn("tie", F.xxhash64("t"))
@@ -269,7 +272,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str)
     """The pairs (durable) of likeness 0.8 or more, by their whole sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.in_slices(batches):
+        for batch in common.in_slices(batches, 128):
             x, y = ([np.frombuffer(b, np.uint64) for b in batch.column(c).to_pylist()] for c in ("x", "y"))
             good = [9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))

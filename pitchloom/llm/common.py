@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -79,6 +81,14 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def release() -> None:
+    """Give back what a task has freed: workers are reused, and what several stages leave behind would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with Python's cyclic collector off: the hot loops make millions of strings and no cycles."""
 
@@ -88,6 +98,7 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
             yield from function(batches)
         finally:
             gc.enable()
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ class Encoder:
     and changes no id.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000, plain: bool = False):
+    def __init__(self, path: str, cache_entries: int = 600_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
