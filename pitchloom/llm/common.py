@@ -89,10 +89,20 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with Python's cyclic collector off: the hot loops make millions of strings and no cycles."""
+#: What a worker keeps from task to task, by the operator that made it.
+worker_caches: dict[str, object] = {}
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, cache: str | None = None) -> DataFrame:
+    """mapInArrow with Python's cyclic collector off: the hot loops make millions of strings and no cycles.
+
+    A worker's caches go, but for the one named, when it begins a task of another operator.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in worker_caches if n != cache]:
+            del worker_caches[name]
+            release()
         gc.disable()
         try:
             yield from function(batches)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
                 columns.append(pa.array([p[3].astype(np.int32) for p in pieces], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(columns)])
 
-    return common.map_batches(docs.select(F.col(id_col).cast("long").alias("k"), common.text_column(text_col).alias("t")), run, schema)
+    return common.map_batches(docs.select(F.col(id_col).cast("long").alias("k"), common.text_column(text_col).alias("t")), run, schema, CACHE)
 
 
 # ---------------------------------------------------------------- the program

@@ -107,16 +107,17 @@ class Trie:
             self.clear()
 
 
-_tries: dict[int, Trie] = {}
+CACHE = "tries"
 
 
 def worker_trie(pieces: list[str]) -> Trie:
     """A worker's trie for a vocabulary; workers are reused across tasks, and so is what they inserted."""
     key = hash(tuple(pieces))
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(rank_scores(pieces))
-    return _tries[key]
+    held = common.worker_caches.setdefault(CACHE, {})
+    if key not in held:
+        held.clear()
+        held[key] = Trie(rank_scores(pieces))
+    return held[key]
 
 
 def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +134,7 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
                 trie.room()
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(pretokens, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
-    return common.map_batches(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")), run, "doc_id long, n_pretokens long, n_tokens long")
+    return common.map_batches(docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")), run, "doc_id long, n_pretokens long, n_tokens long", CACHE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

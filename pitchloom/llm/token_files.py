@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 _U = np.uint64
 _MANIFEST = "shard int, payload string, index string, keys string, width int, first long, last long, n_docs long, n_ids long"
@@ -164,7 +164,7 @@ def write_token_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int,
         if shard:
             yield pa.RecordBatch.from_pydict(shard.close(), _manifest_schema())
 
-    common.map_batches(dealt, write, _MANIFEST).write.parquet(f"{root}/manifest")
+    common.map_batches(dealt, write, _MANIFEST, CACHE).write.parquet(f"{root}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from . import common
+
 #: Characters besides space and LF that a pre-tokenizer may take for white space, and control separators.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Marks that, after a letter, begin a pre-token of their own in these files; an apostrophe does not.
@@ -27,7 +29,7 @@ class Encoder:
     and changes no id.
     """
 
-    def __init__(self, path: str, cache_entries: int = 600_000, plain: bool = False):
+    def __init__(self, path: str, cache_entries: int = 1_000_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,14 +122,16 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+#: The name of the workers' cache of encoders, for map_batches.
+CACHE = "tokens"
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file; workers are reused across tasks, and so is its table."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    held = common.worker_caches.setdefault(CACHE, {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def vocabulary(name: str) -> str:
