@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 
@@ -20,6 +21,8 @@ _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029
 #: Marks that, after a letter, begin a pre-token of their own in these files; an apostrophe does not.
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 _START = "\x01"
+#: Words that are encoded as one text.
+TOGETHER = 64
 
 
 class Encoder:
@@ -41,6 +44,11 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE if self.folds else 0) if added else None
         self.special_heads = {a[0] for a in added}
         self.cache_entries = cache_entries
+        # the mark of a word in its tokens: a space before the first, or an end at the last
+        names = {i: t for t, i in self.tokenizer.get_vocab().items()}
+        starts, ends = (np.array([f(names.get(i, "")) for i in range(max(names) + 1)]) for f in (lambda t: t.startswith("\u0120"), lambda t: t.endswith("</w>")))
+        self.at_start = bool(starts.sum() > ends.sum())
+        self.edge = starts if self.at_start else ends if ends.any() else None
         self._reset()
 
     def _reset(self) -> None:
@@ -53,6 +61,23 @@ class Encoder:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _encode(self, fresh: list[str]) -> None:
+        """Words of letters alone are encoded many to a text: where each begins or ends is told by its tokens."""
+        plain = [s for s in fresh if s.isalpha()] if self.edge is not None else []
+        if plain:
+            groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+            for group, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups]), strict=True):
+                marked = np.flatnonzero(self.edge[ids])
+                if len(marked) != len(group):  # not one mark for each word; none is known of
+                    self._one_by_one(group)
+                    continue
+                cuts = np.r_[marked, len(ids)] if self.at_start else np.r_[0, marked + 1]
+                self._append(group, np.diff(cuts), ids)
+            alone = set(plain)
+            fresh = [s for s in fresh if s not in alone]
+        if fresh:
+            self._one_by_one(fresh)
+
+    def _one_by_one(self, fresh: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast([s[1:] if s[0] == _START else s if s[0] == "\n" else " " + s for s in fresh], add_special_tokens=False)
         ids = [e.ids for e in encoded]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -79,8 +104,11 @@ class Encoder:
         """A word with marks after its last letter is the word and the marks, each encoded once."""
         whole, joined = [], []
         for s in fresh:
+            if s[-1] not in _MARKS:
+                whole.append(s)
+                continue
             core = s.rstrip(_MARKS)
-            if len(core) < len(s) and core and core[-1].isalpha():
+            if core and core[-1].isalpha():
                 joined.append((s, core, _START + s[len(core) :]))
             else:
                 whole.append(s)
@@ -113,12 +141,18 @@ class Encoder:
                 out[i] = x
         if len(self.place) > self.cache_entries:
             self._reset()
-        place = self.place
-        fresh = list(dict.fromkeys(p for _, parts in cut for p in parts if p not in place))
-        if fresh:
-            self._add(fresh)
-        for i, parts in cut:
-            out[i] = self._gather(np.fromiter(map(place.__getitem__, parts), np.int64, len(parts)))
+        flat = [p for _, parts in cut for p in parts]
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(at < 0).tolist()
+        if missed:
+            self._add(list(dict.fromkeys([flat[i] for i in missed])))
+            place = self.place
+            at[missed] = [place[flat[i]] for i in missed]
+        # the ids of all texts in one gathering, cut where each text's stretches end
+        many = self.begin[at + 1] - self.begin[at]
+        ends = np.cumsum(many)[np.cumsum([len(parts) for _, parts in cut]) - 1] if cut else []
+        for (i, _), ids in zip(cut, np.split(self._gather(at), ends[:-1]) if cut else [], strict=True):
+            out[i] = ids
         return out
 
 
