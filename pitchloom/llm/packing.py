@@ -32,12 +32,12 @@ from . import common
 from .tokens import CACHE, encoder
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int = 2_000_000) -> DataFrame:
     """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, part, rank, and ids if asked."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encode = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer)
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer, cache_entries)
         for batch in common.in_slices(batches, 256):
             keys, pieces = batch.column("k").to_pylist(), []
             for key, ids in zip(keys, encode.ids(batch.column("t").to_pylist()), strict=True):
@@ -238,8 +238,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return pieces.join(bases, ["part", "length"]).mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
-    return pack(common.durable(encode_pieces(docs, tokenizer, end_id, capacity, with_ids=with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, with_ids: bool = False, cache_entries: int = 2_000_000) -> DataFrame:
+    return pack(common.durable(encode_pieces(docs, tokenizer, end_id, capacity, with_ids=with_ids, cache_entries=cache_entries), "pieces"), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

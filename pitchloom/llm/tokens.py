@@ -22,7 +22,7 @@ _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029
 _MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 _START = "\x01"
 #: Words that are encoded as one text.
-TOGETHER = 64
+TOGETHER = 256
 
 
 class Encoder:
@@ -160,11 +160,12 @@ class Encoder:
 CACHE = "tokens"
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file; workers are reused across tasks, and so is its table."""
+def encoder(path: str, cache_entries: int = 2_000_000) -> Encoder:
+    """The worker's encoder of a file; workers are reused across tasks, and so is its table (about 0.1 GB a million)."""
     held = common.worker_caches.setdefault(CACHE, {})
     if path not in held:
         held[path] = Encoder(path)
+    held[path].cache_entries = cache_entries
     return held[path]
 
 
