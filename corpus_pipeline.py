@@ -22,7 +22,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens; a document that the mix repeats is packed as often."""
     from pitchloom.llm.tokens import vocabulary
 
-    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, cache_entries=1_000_000)
+    packed = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, cache_entries=300_000)
     # copies of a piece are alike, so any of them may be any copy's; the ids' checksum keeps null ids apart
     copies = Window.partitionBy("doc_id", "piece", "ids_crc32").orderBy("sequence_id", "offset")
     copy = (F.row_number().over(copies) - 1).alias("copy")
