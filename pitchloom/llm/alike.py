@@ -10,7 +10,9 @@ each checked exactly, by whole sets, and each only between nodes that the rounds
    that a sample holds seldom, so that common passages are no keys of most texts; the sample decides the work alone,
    never the result. In small buckets of a key all pairs whose sizes and places allow 0.8 are candidates; in large ones
    (a group of near copies) each node is held against the bucket's least.
-3. Large buckets again: pairs of nodes whose components are still apart.
+3. Large buckets again: pairs of nodes whose components are still apart. A bucket with more such candidates than a
+   multiple of its nodes reports a spanning forest of them instead; the whole sets that such forests join meet in one
+   task, or block by block, which compares any two and reports a spanning forest of their links.
 
 Candidates stay if the numbers of their shingles in 64 classes differ by no more than alike sets can. Of texts, only
 those of candidates are moved, once each.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import common
-from .simhash import components, links, majority, shingle_hashes
+from .simhash import Forest, components, links, majority, shingle_hashes
 
 CLASSES = 64
 #: Bits of a key's place below the size in sp; a later place than they hold counts as the last, which allows more.
@@ -194,36 +196,126 @@ def bucket_pairs(rows: DataFrame, large: int) -> DataFrame:
     return common.map_batches(rows, run, "kind int, a long, b long, sp long")
 
 
-def later_pairs(rows: DataFrame, block: int = 1024) -> DataFrame:
-    """(a, b) of one key, fitting sizes, places and sketches, whose components (column root) are apart."""
+def candidates(node: np.ndarray, sp: np.ndarray, root: np.ndarray, marks_: np.ndarray, most: int, block: int = 1024) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """Pairs of a bucket that fit in size, place and sketch and whose roots differ; if over ``most``, a spanning forest of them (True)."""
+    order = np.argsort(sp >> PLACE, kind="stable")  # alike sets are near each other by size
+    node, sp, root, marks_ = node[order], sp[order], root[order], marks_[order]
+    size = sp >> PLACE
+    ends = np.searchsorted(size, 5 * size // 4, side="right").tolist()
+
+    def pairs(joined: Forest | None) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        found, held = [], 0
+        for x, end in enumerate(ends):
+            for j in range(x + 1, end, block):
+                y = np.arange(j, min(end, j + block))
+                y = y[root[y] != root[x]]
+                if joined is not None:
+                    y = y[joined.labels(y) != joined.find(x)]
+                y = y[may_be_alike(np.full(len(y), sp[x]), sp[y])]
+                y = y[9 * np.abs(marks_[y] - marks_[x]).sum(axis=1) <= size[y] + size[x]]
+                if joined is not None:
+                    y = y[np.unique(joined.labels(y), return_index=True)[1]]  # one of each part
+                    for k in y.tolist():
+                        joined.join(x, k)
+                found.append((np.full(len(y), node[x]), node[y]))
+                held += len(y)
+            if joined is None and held > most:
+                return None
+        return found
+
+    found = pairs(None)
+    return (found, False) if found is not None else (pairs(Forest(len(node))), True)
+
+
+def later_pairs(rows: DataFrame, share: int = 8) -> DataFrame:
+    """(a, b, dense) of one key: candidates whose components (column root) are apart.
+
+    A bucket of n nodes with up to ``share`` n candidates reports them all; one with more is dense and reports a spanning
+    forest of them, so the rows are a multiple of the nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_buckets(batches):
-            key, node, sp, root = (t.column(c).to_numpy() for c in ("key", "node", "sp", "root"))
-            marks_ = drawn(t.column("sketch"))
-            size = sp >> PLACE
+            key = t.column("key").to_numpy()
             bounds = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            found = {False: [], True: []}
             for lo, hi in zip(bounds, bounds[1:], strict=False):
-                if (root[lo:hi] == root[lo]).all():
-                    continue
-                # by size: alike sets are near each other
-                order = lo + np.argsort(size[lo:hi], kind="stable")
-                ends = np.searchsorted(size[order], 5 * size[order] // 4, side="right")
-                found, held = [], 0
-                for i, x in enumerate(order):
-                    for j in range(i + 1, int(ends[i]), block):
-                        y = order[j : min(int(ends[i]), j + block)]
-                        y = y[root[y] != root[x]]
-                        y = y[may_be_alike(np.full(len(y), sp[x]), sp[y])]
-                        y = y[9 * np.abs(marks_[y] - marks_[x]).sum(axis=1) <= size[y] + size[x]]
-                        found.append((np.full(len(y), node[x]), node[y]))
-                        held += len(y)
-                    if held > 100_000:
-                        yield pair_batch(found)
-                        found, held = [], 0
-                yield pair_batch(found)
-
-    return common.map_batches(rows, run, "a long, b long").distinct()
+                own = t.slice(lo, hi - lo)
+                node, sp, root = (own.column(c).to_numpy() for c in ("node", "sp", "root"))
+                if (root != root[0]).any():
+                    pairs, dense = candidates(node, sp, root, drawn(own.column("sketch")), share * len(node))
+                    found[dense] += pairs
+            for dense, pairs in found.items():
+                made = pair_batch(pairs)
+                yield made.append_column("dense", pa.array(np.full(made.num_rows, dense)))
+
+    return common.map_batches(rows, run, "a long, b long, dense boolean").distinct()
+
+
+def set_forest(node: np.ndarray, root: np.ndarray, part: np.ndarray, held: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (likeness 0.8 or more, by whole sets) that join what roots leave apart; between parts only, if there are two."""
+    order = np.argsort([len(h) for h in held], kind="stable")
+    node, part, held = node[order], part[order], [held[i] for i in order]
+    size = np.array([len(h) for h in held], np.int64)
+    starts = np.r_[0, np.cumsum(size)]
+    values, flat = np.unique(np.concatenate(held), return_inverse=True)
+    joined, mark, edges, two = Forest(len(node)), np.zeros(len(values), np.int32), [], (part != part[0]).any()
+    _, first, back = np.unique(root[order], return_index=True, return_inverse=True)
+    joined.parent = first[back]
+    for x, end in enumerate(np.searchsorted(size, 5 * size // 4, side="right").tolist()):
+        y = np.arange(x + 1, end)
+        apart = joined.labels(y) != joined.find(x)
+        if two:
+            apart &= part[y] != part[x]
+        if not apart.any():
+            continue
+        own = flat[starts[x] : starts[x + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat[starts[x + 1] : starts[end]]], starts[x + 1 : end] - starts[x + 1])
+        mark[own] = 0
+        y = y[apart & (9 * both >= 4 * (size[y] + size[x]))]
+        for k in y[np.unique(joined.labels(y), return_index=True)[1]].tolist():
+            joined.join(x, k)
+            edges.append((int(node[x]), int(node[k])))
+    return edges
+
+
+def linked_in_groups(pairs: DataFrame, root: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, parts: int, most: int = 1 << 19) -> DataFrame:
+    """(a, b), durable: links that join what the likeness of any two nodes joins in a group, a component of the pairs.
+
+    A group's sets meet in one task, which reports a spanning forest of its links. A group of more than ``most``
+    shingles in all is cut into blocks, and any two of its blocks meet in a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, found = None, [], []
+
+        def solve() -> list[tuple[int, int]]:
+            node, root_, part, held = zip(*own, strict=True)
+            return set_forest(np.array(node, np.int64), np.array(root_, np.int64), np.array(part, np.int64), [np.frombuffer(h, np.uint64) for h in held])
+
+        for batch in common.in_slices(batches):
+            for group, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "lo", "hi", "node", "root", "part", "held")), strict=True):
+                if own and at != (group, lo, hi):
+                    found += solve()
+                    own.clear()
+                at = group, lo, hi
+                own.append(row)
+        if own:
+            found += solve()
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        yield pair_batch([(ends[:, 0], ends[:, 1])])
+
+    group = common.durable(components(pairs).withColumnRenamed("root", "group"), "later-groups")
+    sets = whole_sets(group.select("node"), nodes, docs, text_col)
+    blocks = group.join(nodes.select("node", "size"), "node").groupBy("group").agg(F.ceil(F.sum("size") / most).cast("int").alias("blocks")).where("blocks > 1")
+    given = sets.join(group, "node").join(root, "node", "left").join(blocks, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    given = given.withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    given = given.select("group", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", F.coalesce("root", "node").alias("root"), "part", "held")
+    dealt = given.repartition(parts, "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    out = common.durable(common.map_batches(dealt, run, "a long, b long").distinct(), "group-links")
+    common.discard(sets)
+    return out
 
 
 def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,6 +418,10 @@ def groups(docs: DataFrame, large: int = 4, id_col: str = "doc_id", text_col: st
     if not rest.isEmpty():
         dealt = rest.select("key", "node", "sp", "root", "sketch").repartition(parts, "key").sortWithinPartitions("key", "node")
         more = common.durable(later_pairs(dealt), "later-pairs")
-        edges = common.durable(edges.union(verified(more, nodes, docs, text_col)), "alike-links")
+        edges = edges.union(verified(more.where("not dense").select("a", "b"), nodes, docs, text_col))
+        dense = more.where("dense").select("a", "b")
+        if not dense.isEmpty():
+            edges = edges.union(linked_in_groups(dense, root, nodes, docs, text_col, parts))
+        edges = common.durable(edges, "alike-links")
         root = components(edges)
     return marked.select("doc_id", "tie", "node").join(root, "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("group"))

@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from pitchloom.llm import alike, simhash
@@ -62,3 +63,35 @@ def test_stage_leaves_one_of_each_group(spark):
     texts = edited_corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == sorted(set(brute_groups(texts)))
+
+
+def test_a_large_bucket_reports_a_forest(spark):
+    """200 alike nodes of one key, each its own component, and one that fits no other: 199 rows, not 19,900."""
+    mark, far = bytes([1] * alike.CLASSES), bytes([9] * alike.CLASSES)
+    rows = [(7, i, 64 << alike.PLACE, i, mark) for i in range(200)] + [(7, 200, 64 << alike.PLACE, 200, far)]
+    given = spark.createDataFrame(rows, "key long, node long, sp long, root long, sketch binary").coalesce(1)
+    found = alike.later_pairs(given.sortWithinPartitions("key", "node")).collect()
+    assert len(found) == 199
+    assert {r.root for r in simhash.components(spark.createDataFrame([(r.a, r.b) for r in found], "a long, b long")).collect()} == {0}
+
+
+@pytest.mark.parametrize("most", [1 << 19, 600])
+def test_groups_of_candidates_equal_brute_force(spark, most):
+    """One group of candidates, most of which are not alike, in one task and in blocks; some nodes are joined before."""
+    texts = list(dict.fromkeys(t.lower() for t in edited_corpus() if len(t.split()) >= 43))
+    sets = [alike.shingle_set(t) for t in texts]
+    nodes = [alike.node_of(h) for h in sets]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    ties = {r.text: r.tie for r in docs.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    table = spark.createDataFrame([(n, len(h), ties[t]) for n, h, t in zip(nodes, sets, texts, strict=True)], "node long, size int, tie long")
+    pairs = spark.createDataFrame([(min(nodes[0], n), max(nodes[0], n)) for n in nodes[1:]], "a long, b long")
+    brute = brute_groups(texts)
+    before = {i: next(j for j in range(i + 1) if brute[j] == brute[i]) for i in range(0, len(texts), 3)}
+    root = spark.createDataFrame([(nodes[i], nodes[j]) for i, j in before.items()], "node long, root long")
+    found = alike.linked_in_groups(pairs, root, table, docs, "text", 4, most).collect()
+    forest, at = simhash.Forest(len(nodes)), {n: i for i, n in enumerate(nodes)}
+    for i, j in [*before.items(), *((at[r.a], at[r.b]) for r in found)]:
+        forest.join(i, j)
+    assert forest.labels(np.arange(len(nodes))).tolist() == brute
+    if most == 1 << 19:
+        assert len(found) < len(nodes)
