@@ -129,3 +129,28 @@ def _count(n: int, r: int) -> int:
     for k in range(r):
         total *= n - k
     return total
+
+
+def smoothed_sums(start: np.ndarray, steps: np.ndarray, count: np.ndarray, kernel: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, the sums of v and of v log v over all len(kernel)^size bins of its histogram smoothed round the cycle.
+
+    Set i has the tuples (rows of steps, with their counts) from start[i] to start[i + 1], at least one. No more than
+    about ``block`` products are held at once: those of many sets, or of one set and some of the bins.
+    """
+    n, size = len(kernel), steps.shape[1]
+    bins, around = n**size, np.r_[kernel, kernel]
+    total, moment = np.zeros(len(start) - 1), np.zeros(len(start) - 1)
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(start, start[at] + block // bins, side="right")) - 1)
+        own, c = steps[start[at] : start[end]], count[start[at] : start[end], None].astype(np.float64)
+        width = min(bins, max(1, block // len(own)))
+        for lo in range(0, bins, width):
+            value = c
+            for i, place in enumerate(np.unravel_index(np.arange(lo, min(bins, lo + width)), (n,) * size)):
+                value = value * around[place[None, :] - own[:, i, None] + n]
+            v = np.add.reduceat(value, start[at:end] - start[at], axis=0)
+            total[at:end] += v.sum(axis=1)
+            moment[at:end] += (v * np.log(np.where(v > 0, v, 1.0))).sum(axis=1)
+        at = end
+    return total, moment

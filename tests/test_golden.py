@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchloom.functions.pitch import convert_pitch, register
 from pitchloom.model import SpectrumSpec, TensorParams, multiset
-from pitchloom.operators import batch, circular, harmony, profiles, spectra, tensor
+from pitchloom.operators import batch, circular, harmony, kernels, profiles, spectra, tensor
 from pitchloom.plans import cost, grids
 
 DIATONIC, WHOLE, CLAVE = (0, 2, 4, 5, 7, 9, 11), (0, 2, 4, 6, 8, 10), (0, 3, 6, 10, 12)
@@ -132,6 +132,32 @@ def test_n_tuples(spark, sets):
         circular.n_tuple_entropy(sets({"t": (0, 4, 7)}), 12, 3).collect()
 
 
+def test_smoothed_n_tuples_make_no_row_of_a_bin(spark, sets):
+    """One row is made of each tuple, none of a bin, and a set is moved once."""
+    df = circular.n_tuple_entropy(sets({"d": DIATONIC, "c": (0, 1, 4), "w": WHOLE}), 12, 2, sigma=0.5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Exchange hashpartitioning") == 1
+    got = {r.set_id: r.entropy for r in df.collect()}
+    kernel = np.exp(-(np.minimum(np.arange(12), 12 - np.arange(12)) ** 2) / 0.5)
+    kernel /= kernel.sum()
+    for name, p in (("d", DIATONIC), ("c", (0, 1, 4)), ("w", WHOLE)):
+        s = [(b - a) % 12 for a, b in zip(p, [*p[1:], p[0]], strict=True)]
+        v = sum(np.outer(np.roll(kernel, a), np.roll(kernel, b)) for a, b in zip(s, [*s[1:], s[0]], strict=True)) / len(p)
+        assert got[name] == pytest.approx(-(v * np.log(v)).sum() / (2 * np.log(12)))
+
+
+@pytest.mark.parametrize("block", [1, 7, 500, 1 << 20])
+def test_smoothed_sums_in_blocks(block):
+    """Blocks of sets, of bins, and both give the sums of the whole histogram."""
+    r = np.random.default_rng(3)
+    start, kernel = np.array([0, 3, 4, 9, 14]), r.random(5)
+    steps, count = r.integers(0, 5, (14, 3)), r.integers(1, 4, 14)
+    total, moment = kernels.smoothed_sums(start, steps, count, kernel, block)
+    for i in range(4):
+        v = sum(count[j] * np.einsum("a,b,c->abc", *(np.roll(kernel, s) for s in steps[j])) for j in range(start[i], start[i + 1]))
+        assert total[i] == pytest.approx(v.sum()) and moment[i] == pytest.approx((v * np.log(v)).sum())
+
+
 def pair(sets, a, b, t, how=tensor.cosine):
     left, right = sets({"a": a}), sets({"b": b})
     pairs = left.select(F.lit("a").alias("a_id"), F.lit("b").alias("b_id")).distinct()
